@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ class Texts:
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts come to about ``size`` bytes, one row at least."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     at, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if i > at and total + n > size:

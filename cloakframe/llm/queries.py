@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, sharding
+from . import bpe, media, near_dedup, packing, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_media(documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 #: DuckDB SQL where it can say the same.
