@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, near_dedup, packing, sharding
+from . import bpe, language_id, media, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +29,37 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_media(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.score_held_out(documents(spark, sf_dir), labels)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=2)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(documents(spark, sf_dir), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 
