@@ -55,6 +55,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Rows of ids up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids`` (written out, narrow) with a hint to broadcast it if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id isn't among ``ids`` (its column ``id``); a null
+    id is like another value here."""
+    gone = sized(materialize(df.sparkSession, ids.select(F.col("id").alias("_gone")).distinct(), "gone"))
+    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def spread(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,29 @@ def train(df: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: s
     return fit([labels[i] for i in order], x[order]) if labels else None
 
 
+class _Predictor:
+    """Predictions for batches of texts; sent to the workers by broadcast."""
+
+    def __init__(self, model: Model | None):
+        self.model = model
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        names, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+        if self.model is None:
+            return names, score
+        for low, high in blocks(column):
+            part = column.slice(low, high - low)
+            lettered = np.flatnonzero([t is not None and any(map(str.isalpha, t)) for t in part.to_pylist()])
+            bins, at = trigrams(Texts(part))
+            per = np.maximum(np.diff(at), 1)
+            margins = np.zeros((len(part), len(self.model.pairs)))
+            for k, (w, c) in enumerate(zip(self.model.weights, self.model.bias, strict=True)):
+                margins[:, k] = sums(w[bins], at) / per + c
+            got, sure = self.model.predict(margins)
+            names[low + lettered], score[low + lettered] = got[lettered], sure[lettered]
+        return names, score
+
+
 def identify(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 9) -> DataFrame:
     """(id, lang_pred, score) of every row; learnt from rows where ``usable``."""
     spark = df.sparkSession
@@ -188,19 +212,10 @@ def identify(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        predict = _Predictor(shared.value)
         for batch in batches:
-            for low, high in blocks(batch.column(1)):
-                part = batch.slice(low, high - low)
-                lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column(1).to_pylist()])
-                names, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
-                if own is not None:
-                    bins, at = trigrams(Texts(part.column(1)))
-                    per = np.maximum(np.diff(at), 1)
-                    margins = np.stack([sums(w[bins], at) / per + c for w, c in zip(own.weights, own.bias, strict=True)], axis=1) if len(own.pairs) else np.zeros((len(part), 0))
-                    got, sure = own.predict(margins)
-                    names[lettered], score[lettered] = got[lettered], sure[lettered]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+            names, score = predict(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     picked = df.select(id_col, df[text_col].cast("string").alias("text"))
     return picked.mapInArrow(run, f"`{id_col}` {dict(picked.dtypes)[id_col]}, lang_pred string, score double")
@@ -211,3 +226,22 @@ def identify_held_out(df: DataFrame, id_col: str = "doc_id", folds: int = 4, fol
     from which nothing is learnt."""
     found = identify(df, id_crc_mod(id_col, folds) != fold, id_col=id_col, **options)
     return found.select(id_col, F.coalesce(id_crc_mod(id_col, folds) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 9) -> DataFrame:
+    """``df`` without the rows whose language can't be told (``und``); where
+    ``lang_col`` (a string) is null, it becomes the predicted language."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(train(df, F.lit(True), id_col, text_col, lang_col, sample, seed))
+    text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _Predictor(shared.value)
+        for batch in batches:
+            names, _ = predict(batch.column(text_at))
+            lang = batch.column(lang_at)
+            filled = pc.coalesce(lang, pa.array(names, lang.type))
+            yield batch.set_column(lang_at, batch.schema.field(lang_at).with_nullable(True), filled).filter(pa.array(names != UNKNOWN))
+
+    return df.mapInArrow(run, df.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, bounded_batches, materialize, mix, spread, sums, words
+from .common import Texts, blocks, bounded_batches, materialize, mix, sized, spread, sums, without, words
 from .components import connected_components
 
 COORDINATES = 64
@@ -51,8 +51,6 @@ BLOCK_DOCS = 4096
 BLOCK_SHINGLES = 4_000_000
 #: Cells of the table in which a cluster's full sets are compared.
 TABLE_CELLS = 128 << 20
-#: Rows of cluster ids up to which they are broadcast to filter the documents.
-BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20)
 #: A random odd factor for each word of a shingle.
@@ -386,11 +384,24 @@ def near_duplicates(
     candidates = candidate_links(postings(wide, sketch, matches, block_docs), matches, percent)
     clusters = connected_components(candidates).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     blocked = materialize(spark, _blocked(spark, clusters, wide.select("id", "n"), block_docs, block_shingles), "clusters")
-    small = blocked.count() <= BROADCAST_ROWS
     texts = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    members = texts.join(F.broadcast(blocked) if small else blocked, "id").select("cluster", "block", "id", "text")
+    members = texts.join(sized(blocked), "id").select("cluster", "block", "id", "text")
     roots = connected_components(verified_links(members, width, percent)).select(F.col("node").alias("rep"), "root")
     of_set = sets.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     out = signed.join(of_set.withColumns({"_f1": F.col("f1"), "_f2": F.col("f2")}).drop("f1", "f2"), (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one document of each group of near-duplicates: that of the
+    least id. Of rows that repeat id and text, one stays; rows of one id with
+    different texts stand or fall together."""
+    spark = df.sparkSession
+    found = materialize(spark, near_duplicates(df, id_col, text_col, width, percent), "groups")
+    left = without(df, id_col, found.where("not kept").select(F.col(id_col).alias("id")))
+    again = materialize(spark, found.where("kept").groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"), "repeated")
+    if again.isEmpty():
+        return left
+    twice = left.join(sized(again), left[id_col].eqNullSafe(again["id"]), "left_semi")
+    return without(left, id_col, again).unionByName(twice.dropDuplicates([id_col, text_col]))

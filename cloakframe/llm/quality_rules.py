@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize
+from .common import SPACE_CLASS, materialize, without
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -161,3 +161,9 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rejected = reduce(lambda a, b: a | b, [F.coalesce(of[rule] > F.col(rule), F.lit(False)) for rule in GRID])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: str = "lang", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``df`` without the documents that base rules or cutoffs reject."""
+    judged = judge(df, labels, id_col, text_col, strata, label_id, label_col)
+    return without(df, id_col, judged.where("not kept").select(F.col(id_col).alias("id")))
