@@ -41,10 +41,9 @@ from .components import connected_components
 COORDINATES = 64
 #: Coordinates in which a candidate pair agrees, for a similarity of 0.8.
 MATCHES = 38
-#: Counters of the sketch that orders coordinate-value pairs.
-SKETCH = 1 << 20
-#: Counts in one task from which a counter is sent on.
-SKETCH_LEAST = 3
+#: Counters of the sketch that orders coordinate-value pairs, and of one row of it.
+SKETCH_BITS = 18
+SKETCH, SKETCH_ROW = 1 << SKETCH_BITS, 1 << 10
 #: Documents of a posting list, or of a cluster, in one block.
 BLOCK_DOCS = 4096
 #: Shingles of a cluster in one block.
@@ -104,7 +103,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(rows.tobytes())])
 
 
-def _rows_of(column: pa.Array, kind: type, width: int) -> np.ndarray:
+def _rows_of(column: pa.Array | pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
@@ -130,21 +129,31 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 
 
 def count_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of coordinate-value pairs by hash, SKETCH counters in all."""
+    """Counts of coordinate-value pairs by hash, SKETCH counters in all.
+
+    A task sends its counters as a fixed number of rows, whatever it has read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts, some = np.zeros(SKETCH, np.int64), False
         for batch in batches:
             if batch.num_rows:
+                some = True
                 tokens = _tokens(_rows_of(batch.column(0), np.uint32, COORDINATES))
-                counts += np.bincount((tokens.ravel() >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        spots = np.flatnonzero(counts >= SKETCH_LEAST)
-        yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(counts[spots])], ["spot", "c"])
+                counts += np.bincount((tokens.ravel() >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH // SKETCH_ROW)), _fixed(counts.reshape(-1, SKETCH_ROW))], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = _rows_of(table.column("counts"), np.int64, SKETCH_ROW).sum(0, keepdims=True)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": _fixed(total)})
 
-    rows = sets.select("sig").mapInArrow(run, "spot bigint, c bigint").groupBy("spot").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(SKETCH, np.int32)
-    counts[rows["spot"].to_numpy()] = np.minimum(rows["c"].to_numpy(), 2**31 - 1)
-    return counts
+    schema = "part bigint, counts binary"
+    rows = sets.select("sig").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    counts = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), np.int64)
+    if rows.num_rows:
+        counts[rows["part"].to_numpy()] = _rows_of(rows["counts"], np.int64, SKETCH_ROW)
+    return np.minimum(counts.ravel(), 2**31 - 1).astype(np.int32)
 
 
 def _nibbles(sig: np.ndarray) -> np.ndarray:
@@ -170,7 +179,7 @@ def postings(sets: DataFrame, sketch: np.ndarray, matches: int, block_docs: int)
                 continue
             sig = _rows_of(batch.column(2), np.uint32, COORDINATES)
             tokens = _tokens(sig)
-            often = counts[(tokens >> np.uint64(44)).astype(np.int64)]
+            often = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             order = (np.minimum(often, 2**15 - 1).astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
             first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix] if prefix < COORDINATES else np.tile(np.arange(COORDINATES), (len(sig), 1))
             key = np.take_along_axis(tokens, first, 1).ravel()
