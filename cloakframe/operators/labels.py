@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,12 +139,21 @@ def pieces_with_parts(text: str, merged: list[dict], language: str) -> tuple[lis
     return pieces, [{"label": k, "value": v} for k, v in mapping.items()]
 
 
-@F.pandas_udf(T.StructType([T.StructField("pieces", PIECES), T.StructField("mapping", ENTRIES)]))
-def split_label_pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Arrow form of ``pieces_with_parts``: struct(pieces, mapping)."""
-    for texts, merged, languages in batches:
-        made = [pieces_with_parts(t, list(m), g) for t, m, g in zip(texts, merged, languages, strict=True)]
-        yield pd.DataFrame({"pieces": [m[0] for m in made], "mapping": [m[1] for m in made]})
+def with_split_labels(df: DataFrame, text: str, merged: str, language: str) -> DataFrame:
+    """``df`` with pieces and mapping by ``pieces_with_parts``, in an Arrow pass
+    that leaves the other columns alone."""
+    at = [df.columns.index(c) for c in (text, merged, language)]
+    schema = T.StructType([*df.schema.fields, T.StructField("pieces", PIECES), T.StructField("mapping", ENTRIES)])
+    entry = pa.struct([("label", pa.string()), ("value", pa.string())])
+    piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("value", pa.string()), ("label", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pieces_with_parts(*row) for row in zip(*[batch.column(i).to_pylist() for i in at], strict=True)]
+            columns = [pa.array([m[k] for m in made], pa.list_(kind)) for k, kind in enumerate((piece, entry))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "pieces", "mapping"])
+
+    return df.mapInArrow(run, schema)
 
 
 def conversation_labels(df: DataFrame, conv: str, turn: str, pieces: str) -> DataFrame:

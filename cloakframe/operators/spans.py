@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,13 +75,15 @@ def repeats(text: str, spans: list[dict]) -> list[dict]:
 
 
 @F.pandas_udf(SPANS)
-def _with_repeats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, spans in batches:
-        rows = [[dict(s) if isinstance(s, dict) else s.asDict() for s in own] for own in spans]
-        yield pd.Series([own + repeats(t, own) for t, own in zip(texts, rows, strict=True)])
+def _with_repeats(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    rows = [[dict(s) if isinstance(s, dict) else s.asDict() for s in own] for own in spans]
+    return pd.Series([own + repeats(t, own) for t, own in zip(texts, rows, strict=True)])
+
+
+#: So that the optimizer neither repeats the Arrow step nor moves it into an explode.
+_with_repeats = _with_repeats.asNondeterministic()
 
 
 def propagate(text: Column, spans: Column) -> Column:
-    """Spans with the repeats of the names and places among them. Rows without
-    any don't need it: filter them out before this Arrow step."""
+    """Spans with the repeats of the names and places among them (Arrow)."""
     return _with_repeats(text, spans)

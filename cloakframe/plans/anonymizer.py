@@ -62,7 +62,8 @@ def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerCo
     """``df`` with _lang and _spans (merged, in the original's offsets).
 
     Narrow. Rows of plain characters stay in the JVM; only those whose view may
-    differ, and with a model those with names or places, go through Arrow.
+    differ go through Arrow, and all rows if there is a model, whose values are
+    propagated to their repeats.
     """
     entities = tuple(e for e in config.entities if e in STRUCTURED_ENTITIES) if config.profile == "scan" else config.entities
     rules = rules_of(entities, config.languages, config.threshold, config.profile)
@@ -89,8 +90,7 @@ def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerCo
         with_model = plain.withColumn("_model", model)
         kept = D.outside_of(F.col("_model"), F.col("_found")) if config.drop_model_overlaps else F.col("_model")
         with_model = with_model.withColumn("_found", F.concat("_found", kept)).drop("_model")
-        named = F.exists("_found", lambda s: s["entity_type"].isin("PERSON", "LOCATION"))
-        plain = with_model.where(~named).unionByName(with_model.where(named).withColumn("_found", propagate(F.col("_text"), F.col("_found"))))
+        plain = with_model.withColumn("_found", propagate(F.col("_text"), F.col("_found")))
     final = D.at_least(F.col("_found"), config.threshold)
     if config.profile != "scan":
         final = D.not_allowed(final, F.col("_text"), allow)
@@ -104,8 +104,7 @@ def anonymize(df: DataFrame, text: str = "text", config: AnonymizerConfig = Anon
     (spans) and pieces. Labels are per row; no shuffle."""
     found = with_spans(df, text, config)
     if config.split_names:
-        made = found.withColumn("_made", L.split_label_pieces(F.col("_text"), F.col("_spans"), F.col("_lang")))
-        labelled = made.withColumns({"pieces": F.col("_made.pieces"), "mapping": F.col("_made.mapping")}).drop("_made")
+        labelled = L.with_split_labels(found, "_text", "_spans", "_lang")
     else:
         valued = found.withColumn("_valued", L.valued_spans(F.col("_text"), F.col("_spans")))
         labelled = valued.withColumn("pieces", L.label_pieces(F.col("_valued"), F.col("_lang"))).drop("_valued")
