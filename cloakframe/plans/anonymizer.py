@@ -71,20 +71,17 @@ def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerCo
     base = base.withColumn("_lang", config.language_of(F.col("_text")))
     allow = tuple({v for a in config.allow_list for v in (a, detect_view(a)[0])})
 
-    def spans_of(view: Column, back: Callable[[Column], Column], needles: tuple[str, ...]) -> Column:
-        found = back(D.detect_rules(view, F.col("_lang"), rules))
-        deny = back(D.deny_spans(view, needles))
-        if config.profile == "scan":
-            return F.concat(D.not_allowed(found, F.col("_text"), allow), deny)
-        return F.concat(found, deny)
-
-    plain = base.withColumn("_found", spans_of(F.col("_text"), lambda s: s, config.deny_list))
-    if config.normalize:
+    view, back, needles = F.col("_text"), None, config.deny_list
+    if config.normalize:  # only rows whose view may differ pass through Arrow; rules come once, after it
         may = needs_view(F.col("_text"), F.col("_lang"))
-        viewed = base.where(may).withColumn("_view", view_of(F.col("_text"), F.col("_lang")))
-        needles = tuple(detect_view(n)[0] for n in config.deny_list)
-        viewed = viewed.withColumn("_found", spans_of(F.col("_view.text"), lambda s: to_original(s, F.col("_view.orig_pos")), needles)).drop("_view")
-        plain = plain.where(~may).unionByName(viewed)
+        same = base.where(~may).withColumn("_view", F.struct(F.col("_text").alias("text"), F.lit(None).cast("array<int>").alias("orig_pos")))
+        base = same.unionByName(base.where(may).withColumn("_view", view_of(F.col("_text"), F.col("_lang"))))
+        view, back, needles = F.col("_view.text"), F.col("_view.orig_pos"), tuple(detect_view(n)[0] for n in config.deny_list)
+    found = base.withColumns({"_ruled": D.detect_rules(view, F.col("_lang"), rules), "_denied": D.deny_spans(view, needles)})
+    if back is not None:
+        found = found.withColumns({c: to_original(F.col(c), back) for c in ("_ruled", "_denied")}).drop("_view")
+    ruled = D.not_allowed(F.col("_ruled"), F.col("_text"), allow) if config.profile == "scan" else F.col("_ruled")
+    plain = found.withColumn("_found", F.concat(ruled, "_denied")).drop("_ruled", "_denied")
     if config.detector is not None:
         model = D.of_types(config.detector(F.col("_text"), F.col("_lang")), config.entities)
         with_model = plain.withColumn("_model", model)

@@ -460,7 +460,7 @@ def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "part", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-_VIEWS = [(1, "ﾔﾏﾀﾞ ﾀﾛｳ", "ja", "ヤマダ タロウ"), (2, "ｶﾀｶﾅ", "en", "ｶﾀｶﾅ"), (3, "café 090-1234-5678", "en", "café 090-1234-5678"), (4, "plain", "ja", "plain")]
+_VIEWS = [(1, "ﾔﾏﾀﾞ ﾀﾛｳ", "ja", "ヤマダ タロウ"), (2, "ｶﾀｶﾅ", "en", "ｶﾀｶﾅ"), (3, "cafe\u0301 090-1234-5678", "en", "caf\u00e9 090-1234-5678"), (4, "plain", "ja", "plain")]
 
 
 @query(values(["id", "view"], [(v[0], v[3]) for v in _VIEWS]))

@@ -55,10 +55,10 @@ def test_deny_allow_repeat(spark):
 
 
 def test_normalized_view_and_plain_columns(spark):
-    rows = spark.createDataFrame([("担当のﾔﾏﾀﾞです。090-1234-5678", 1), ("café 333-333-3333", 2), (None, 3), ("", 4)], "text string, spans int")
+    rows = spark.createDataFrame([("担当のﾔﾏﾀﾞです。090-1234-5678", 1), ("cafe\u0301 333-333-3333", 2), (None, 3), ("", 4)], "text string, spans int")
     config = AnonymizerConfig(deny_list=("ヤマダ",))
     got = {r.spans: r.masked_text for r in anonymize(rows, config=config).collect()}
-    assert got == {1: "担当の<秘匿情報_1>です。<電話番号_1>", 2: "café <Phone_1>", 3: "", 4: ""}
+    assert got == {1: "担当の<秘匿情報_1>です。<電話番号_1>", 2: "cafe\u0301 <Phone_1>", 3: "", 4: ""}
 
 
 def test_pruning_and_guards():
