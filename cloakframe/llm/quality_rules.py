@@ -47,30 +47,35 @@ GRID: dict[str, list[float]] = {
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """Occurrences of single characters: byte searches, which are cheap."""
+    length = F.length(text)
+    return sum((length - F.length(F.replace(text, F.lit(c))) for c in characters[1:]), length - F.length(F.replace(text, F.lit(characters[0]))))
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words inside windows that occur twice or more.
+def _low_bits(hashes: Column) -> Column:
+    """A mask of as many bits as a place in the array takes."""
+    bits = F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(2)))).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
-    Windows are 64-bit hashes in order. Each is packed with its place into one
-    number; sorted, equal windows stand side by side, and their whole hashes
-    are compared. Covered words are then summed over the sorted places.
-    """
+
+def _packed(hashes: Column, low: Column) -> Column:
+    """Hashes in order with their place in the low bits: equal ones side by side."""
     places = F.sequence(F.lit(0), F.size(hashes) - 1)
-    bits = F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(2)))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1  # bits that hold a place
-    packed = F.array_sort(F.zip_with(hashes, places, lambda h, i: h.bitwiseAND(-low - 1).bitwiseOR(i.cast("long"))))
-    place = lambda p: p.bitwiseAND(low).cast("int")
-    # neighbours of the sorted list, the first and last padded with a place that differs
-    window = lambda p: F.get(hashes, place(p))
-    paired = F.zip_with(
-        packed,
-        F.slice(packed, 2, F.size(packed)),
-        lambda p, q: F.when(q.isNotNull() & (window(p) == window(q)), F.array(place(p), place(q))),
-    )
-    repeated = F.array_sort(F.array_distinct(F.flatten(F.filter(paired, lambda x: x.isNotNull()))))
-    steps = F.zip_with(repeated, F.slice(repeated, 2, F.size(repeated)), lambda p, q: F.least(F.lit(WINDOW), F.coalesce(q - p, F.lit(WINDOW))))
+    return F.array_sort(F.zip_with(hashes, places, lambda h, i: h.bitwiseAND(-low - 1).bitwiseOR(i.cast("long"))))
+
+
+def _repeated(hashes: Column, packed: Column, low: Column) -> Column:
+    """Sorted places of the hashes that occur twice or more; neighbours are
+    compared by their whole hashes."""
+    at = lambda p: F.get(hashes, p.bitwiseAND(low).cast("int"))
+    beside = lambda p, i: F.coalesce(at(F.get(packed, i)) == at(p), F.lit(False))
+    found = F.filter(packed, lambda p, i: beside(p, i - 1) | beside(p, i + 1))
+    return F.array_sort(F.transform(found, lambda p: p.bitwiseAND(low).cast("int")))
+
+
+def _covered(places: Column) -> Column:
+    """Words inside windows that start at sorted places."""
+    steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda p, q: F.least(F.lit(WINDOW), F.coalesce(q - p, F.lit(WINDOW))))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
@@ -79,7 +84,9 @@ def statistics(df: DataFrame, id_col: str, text_col: str, strata: str) -> DataFr
     and the counts that the rules use, of every whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = df.select(F.col(id_col).alias("id"), F.col(strata).cast("string").alias("stratum"), text.alias("t"))
-    split = base.withColumns({"w": F.filter(F.split("t", SPACE_CLASS), lambda x: x != ""), "lines": F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)})
+    inner = F.trim("t", F.lit(" \t\n\x0b\x0c\r"))
+    none = F.array().cast("array<string>")
+    split = base.withColumns({"w": F.when(inner == "", none).otherwise(F.split(inner, SPACE_CLASS)), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     hashed = split.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     windows = hashed.withColumn(
         "v",
@@ -88,17 +95,21 @@ def statistics(df: DataFrame, id_col: str, text_col: str, strata: str) -> DataFr
             F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(WINDOW)])),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    some = F.size(F.array_distinct("v")) < F.size("v")
-    return windows.select(
+    # each step is a column of its own, so that none is worked out more than once;
+    # most texts repeat no window and stop at the first
+    some = windows.withColumn("low", F.when(F.size(F.array_distinct("v")) < F.size("v"), _low_bits(F.col("v"))))
+    packed = some.withColumn("p", F.when(F.col("low").isNotNull(), _packed(F.col("v"), F.col("low"))))
+    repeated = packed.withColumn("r", F.when(F.col("low").isNotNull(), _repeated(F.col("v"), F.col("p"), F.col("low"))))
+    return repeated.select(
         "id",
         "stratum",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(some, _repeat_words(F.col("v"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("low").isNotNull(), _covered(F.col("r"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        _count(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[A-Z]+", ""))).cast("long").alias("n_capitals"),
         _count(F.col("t"), "!").cast("long").alias("n_marks"),
     )
 
