@@ -6,10 +6,11 @@ tried on labelled good documents. A cutoff is accepted only if the exact
 binomial (Clopper-Pearson) upper bound of its false-rejection rate is at most
 the rule's share of ``risk``. One rule's cutoffs are tested from the laxest on,
 and testing stops at the first that fails (fixed sequence; the bound only rises
-as cutoffs get stricter, so the strictest that passes is the answer); over rules
-and strata the level is divided by their number (Bonferroni). So with
-probability ``1 - level`` no stratum loses more than ``risk`` of its good
-documents.
+as cutoffs get stricter, so those that pass are those accepted); over rules and
+strata the level is divided by their number (Bonferroni). So with probability
+``1 - level`` no stratum loses more than ``risk`` of its good documents,
+whichever accepted cutoffs apply: those that reject most bad documents net of
+good ones, and of equals the laxest.
 
 Defined results: null text has no words and fails the base rules; a document
 without words as well. Documents of a stratum without enough labels (or of a
@@ -146,19 +147,26 @@ def _log1p(x: float) -> float:
     return math.log1p(x)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+
+
 def choose_cutoffs(stats: DataFrame, labels: DataFrame, label_id: str, label_col: str, risk: float = RISK, level: float = LEVEL, grid: dict[str, list[float]] = GRID) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest accepted cutoff of each rule."""
-    good = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min(label_col).alias("_label")).where("_label = 1").select("id")
-    known = stats.where("stratum is not null").join(good, "id")
-    of = features()
+    """(stratum, rule, cutoff): of a rule's accepted cutoffs, that which rejects
+    most bad documents net of good ones; of equals the laxest. None that gains
+    nothing. Calibrated on labelled documents that pass the base rules."""
+    label = F.min(label_col).alias("_label")
+    known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(label)
+    rows = stats.where(F.col("stratum").isNotNull() & ~base_failed()).join(known, "id")
+    of, good = features(), F.col("_label") == 1
     tests = [(rule, cut) for rule, cuts in grid.items() for cut in cuts]
-    counts = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(of[rule] > F.lit(cut)).alias(f"k{i}") for i, (rule, cut) in enumerate(tests)])
+    above = [of[rule] > F.lit(cut) for rule, cut in tests]
+    counts = rows.groupBy("stratum").agg(F.count_if(good).alias("n"), *[F.count_if(good & a).alias(f"k{i}") for i, a in enumerate(above)], *[F.count_if(~good & a).alias(f"b{i}") for i, a in enumerate(above)])
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    rows = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cut"), F.col(f"k{i}").alias("k")) for i, (rule, cut) in enumerate(tests)]))
-    tried = counts.select("stratum", "n", rows.alias("x")).select("stratum", "n", "x.*").join(F.broadcast(strata))
-    share = risk / len(grid)
-    passed = tried.where(binomial_at_most(F.col("k"), F.col("n"), share) <= F.lit(level) / (F.col("strata") * len(grid)))
-    return passed.groupBy("stratum", "rule").agg(F.min("cut").alias("cutoff"))
+    each = [F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cut"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i, (rule, cut) in enumerate(tests)]
+    tried = counts.select("stratum", "n", F.inline(F.array(*each))).join(F.broadcast(strata))
+    passed = tried.where(binomial_at_most(F.col("k"), F.col("n"), risk / len(grid)) <= F.lit(level) / (F.col("strata") * len(grid)))
+    return passed.where("b > k").groupBy("stratum", "rule").agg(F.max_by("cut", F.struct(F.col("b") - F.col("k"), "cut")).alias("cutoff"))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: str = "lang", label_id: str = "doc_id", label_col: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
@@ -170,7 +178,7 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     joined = stats.join(cutoffs, "stratum", "left")
     # no accepted cutoff: null, and the comparison rejects nothing
     rejected = reduce(lambda a, b: a | b, [F.coalesce(of[rule] > F.col(rule), F.lit(False)) for rule in GRID])
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    failed = base_failed()
     return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
 
