@@ -198,7 +198,3 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(some):
         out[some] = np.add.reduceat(values, offsets[:-1][some], axis=0)
     return out
-
-
-def binary_column(pieces: list[bytes | None]) -> pa.Array:
-    return pa.array(pieces, pa.binary())
