@@ -397,6 +397,7 @@ def near_duplicates(
     members = texts.join(sized(blocked), "id").select("cluster", "block", "id", "text")
     roots = connected_components(verified_links(members, width, percent)).select(F.col("node").alias("rep"), "root")
     of_set = sets.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
+    of_set = materialize(spark, of_set, "components")  # so that a set of many copies is split in the join below
     out = signed.join(of_set.withColumns({"_f1": F.col("f1"), "_f2": F.col("f2")}).drop("f1", "f2"), (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
