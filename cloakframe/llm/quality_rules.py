@@ -126,19 +126,26 @@ def features() -> dict[str, Column]:
     }
 
 
+#: Sums beyond it are scaled down.
+_HIGH = 1e100
+
+
 def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) for X binomial(n, p), summed exactly term by term.
 
     The exact upper bound of a rate with k of n is at most p if and only if
-    this probability at p is at most the level.
+    this probability at p is at most the level. Terms are held relative to a
+    scale whose logarithm is kept beside them, so that none underflows however
+    many documents there are; only a probability below 1e-307 comes out as 0.
     """
-    start = F.struct(F.exp(n * F.lit(_log1p(-p))).alias("term"), F.exp(n * F.lit(_log1p(-p))).alias("total"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), (n * F.lit(_log1p(-p))).alias("scale"))
 
     def step(a: Column, i: Column) -> Column:
-        term = a["term"] * (n - i + 1) / i * F.lit(p / (1 - p))
-        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+        down = F.when(a["total"] > F.lit(_HIGH), F.lit(1 / _HIGH)).otherwise(F.lit(1.0))
+        term = a["term"] * down * (n - i + 1) / i * F.lit(p / (1 - p))
+        return F.struct(term.alias("term"), (a["total"] * down + term).alias("total"), (a["scale"] - F.log(down)).alias("scale"))
 
-    return F.when(k <= 0, start["total"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step, lambda a: a["total"]))
+    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: F.exp(F.log(a["total"]) + a["scale"]))
 
 
 def _log1p(x: float) -> float:
@@ -165,7 +172,10 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, label_id: str, label_col
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
     each = [F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cut"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i, (rule, cut) in enumerate(tests)]
     tried = counts.select("stratum", "n", F.inline(F.array(*each))).join(F.broadcast(strata))
-    passed = tried.where(binomial_at_most(F.col("k"), F.col("n"), risk / len(grid)) <= F.lit(level) / (F.col("strata") * len(grid)))
+    least = F.lit(level) / (F.col("strata") * len(grid))
+    # from the mean on the probability is a half or more: no need to sum so many terms
+    beyond = (F.col("k") >= F.ceil(F.col("n") * (risk / len(grid)))) & (least < 0.5) & (F.col("n") > 0)
+    passed = tried.where(~beyond & (binomial_at_most(F.when(~beyond, F.col("k")).otherwise(F.lit(0)), F.col("n"), risk / len(grid)) <= least))
     return passed.where("b > k").groupBy("stratum", "rule").agg(F.max_by("cut", F.struct(F.col("b") - F.col("k"), "cut")).alias("cutoff"))
 
 

@@ -231,6 +231,43 @@ def test_binomial_bound(spark):
         assert r.p == pytest.approx(sum(comb(r.n, i) * 0.05**i * 0.95 ** (r.n - i) for i in range(r.k + 1)))
 
 
+def log_at_most(k, n, p):
+    """Logarithm of P(X <= k) by log-gammas."""
+    from math import exp, fsum, lgamma, log, log1p
+
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k + 1)]
+    most = max(logs)
+    return most + log(fsum(exp(x - most) for x in logs))
+
+
+@pytest.mark.parametrize("n", [60_000, 2_000_000])
+def test_binomial_bound_of_many(spark, n):
+    p, level = 0.0125, 0.05 / 16
+    low, high = 0, int(n * p)  # the largest k that is accepted lies between
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if log_at_most(middle, n, p) <= np.log(level) else (low, middle)
+    ks = [0, low - 200, low, high, high + 100, int(n * p) + 5]
+    rows = spark.createDataFrame([(k, n) for k in ks], "k long, n long")
+    got = {r.k: r.p for r in rows.select("k", quality_rules.binomial_at_most(F.col("k"), F.col("n"), p).alias("p")).collect()}
+    assert got[low] <= level < got[high]
+    for k in ks:
+        assert got[k] == pytest.approx(np.exp(log_at_most(k, n, p)), rel=1e-6, abs=1e-300)
+
+
+def test_cutoffs_of_many(spark):
+    """Of 60,000 good documents a cutoff may reject fewer than 750."""
+    for lost, accepted in ((600, True), (2_000, False)):
+        i = F.col("id")
+        stats = spark.range(64_000).select(
+            "id", F.lit("en").alias("stratum"), F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), F.when(i < 4_000 + lost, 60).otherwise(1).alias("n_symbols"),
+            *[F.lit(0).alias(c) for c in ("n_dup_lines", "n_repeat_words")], F.lit(10).alias("n_lines"), *[F.lit(0).alias(c) for c in ("n_capitals", "n_marks")],
+        )
+        labels = spark.range(64_000).select(i.alias("doc_id"), (i >= 4_000).cast("int").alias("quality"))
+        got = quality_rules.choose_cutoffs(stats, labels, "doc_id", "quality").collect()
+        assert [(r.rule, r.cutoff) for r in got] == [("symbol_rate", 0.5)] * accepted
+
+
 def test_cutoffs_keep_good(spark):
     stats = [(i, "en", 100, 500, 60 if i < 300 else i % 3, 0, 0, 10, 0, 0) for i in range(1500)]
     names = "id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long"
