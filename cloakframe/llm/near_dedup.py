@@ -405,13 +405,25 @@ def near_duplicates(
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each group of near-duplicates: that of the
-    least id. Of rows that repeat id and text, one stays; rows of one id with
-    different texts stand or fall together."""
+    least id. Of rows that repeat id and text, one stays. Texts of one id are
+    documents of their own, each judged by itself; of near copies under one id
+    one stays. A null id links with nothing, so its rows stay."""
     spark = df.sparkSession
-    found = materialize(spark, near_duplicates(df, id_col, text_col, width, percent), "groups")
-    left = without(df, id_col, found.where("not kept").select(F.col(id_col).alias("id")))
-    again = materialize(spark, found.where("kept").groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"), "repeated")
-    if again.isEmpty():
-        return left
-    twice = left.join(sized(again), left[id_col].eqNullSafe(again["id"]), "left_semi")
-    return without(left, id_col, again).unionByName(twice.dropDuplicates([id_col, text_col]))
+    ids = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count()
+    if ids.where("count > 1").isEmpty():
+        found = materialize(spark, near_duplicates(df, id_col, text_col, width, percent), "groups")
+        gone = found.where(F.col(id_col).isNotNull() & ~F.col("kept"))
+        left = without(df, id_col, gone.select(F.col(id_col).alias("id")))
+        nulls = left.where(F.col(id_col).isNull()).dropDuplicates([text_col])
+        return left.where(F.col(id_col).isNotNull()).unionByName(nulls)
+    # a number for each pair of id and text, in the order of the ids
+    digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), F.col(text_col).cast("string")), F.lit("")).cast("binary"), 256))
+    row = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), digest.alias("_digest"), F.col(text_col).cast("string").alias("_text"))
+    pairs = row.select("_id", "_digest").distinct().repartitionByRange(spread(spark), "_id", "_digest").sortWithinPartitions("_id", "_digest")
+    numbers = materialize(spark, pairs.withColumn("_node", F.monotonically_increasing_id()), "numbers")
+    right = numbers.select(F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), "_node")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2"))
+    numbered = materialize(spark, row.join(right, same).select("_row", "_text", "_node", F.when(F.col("_id").isNotNull(), F.col("_node")).alias("_own")).dropDuplicates(["_node"]), "numbered")
+    found = materialize(spark, near_duplicates(numbered, "_own", "_text", width, percent), "groups")
+    gone = found.where(F.col("_own").isNotNull() & ~F.col("kept"))
+    return without(numbered, "_node", gone.select(F.col("_own").alias("id"))).select("_row.*")

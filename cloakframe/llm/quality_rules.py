@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, without
+from .common import SPACE_CLASS, materialize
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -80,11 +80,13 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
-def statistics(df: DataFrame, id_col: str, text_col: str, strata: str) -> DataFrame:
+def statistics(df: DataFrame, id_col: str, text_col: str, strata: str, whole: bool = False) -> DataFrame:
     """(id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)
-    and the counts that the rules use, of every whole text."""
+    and the counts that the rules use, of every whole text. ``whole`` adds the
+    row itself as struct _row."""
+    own = [F.struct("*").alias("_row")] * whole
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = df.select(F.col(id_col).alias("id"), F.col(strata).cast("string").alias("stratum"), text.alias("t"))
+    base = df.select(F.col(id_col).alias("id"), F.col(strata).cast("string").alias("stratum"), text.alias("t"), *own)
     inner = F.trim("t", F.lit(" \t\n\x0b\x0c\r"))
     none = F.array().cast("array<string>")
     split = base.withColumns({"w": F.when(inner == "", none).otherwise(F.split(inner, SPACE_CLASS)), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
@@ -112,6 +114,7 @@ def statistics(df: DataFrame, id_col: str, text_col: str, strata: str) -> DataFr
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("t") - F.length(F.regexp_replace("t", "[A-Z]+", ""))).cast("long").alias("n_capitals"),
         _count(F.col("t"), "!").cast("long").alias("n_marks"),
+        *["_row"] * whole,
     )
 
 
@@ -179,20 +182,28 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, label_id: str, label_col
     return passed.where("b > k").groupBy("stratum", "rule").agg(F.max_by("cut", F.struct(F.col("b") - F.col("k"), "cut")).alias("cutoff"))
 
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: str = "lang", label_id: str = "doc_id", label_col: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def _judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, strata: str, label_id: str, label_col: str, risk: float, level: float, whole: bool) -> DataFrame:
     """Statistics of every row with base_failed and kept."""
     spark = df.sparkSession
-    stats = materialize(spark, statistics(df, id_col, text_col, strata), "statistics")
-    cutoffs = materialize(spark, choose_cutoffs(stats, labels, label_id, label_col, risk, level).groupBy("stratum").pivot("rule", sorted(GRID)).agg(F.first("cutoff")), "cutoffs")
+    stats = materialize(spark, statistics(df, id_col, text_col, strata, whole), "statistics")
+    narrow = stats.drop("_row")
+    cutoffs = materialize(spark, choose_cutoffs(narrow, labels, label_id, label_col, risk, level).groupBy("stratum").pivot("rule", sorted(GRID)).agg(F.first("cutoff")), "cutoffs")
     of = features()
-    joined = stats.join(cutoffs, "stratum", "left")
+    joined = stats.join(F.broadcast(cutoffs) if whole else cutoffs, "stratum", "left")
     # no accepted cutoff: null, and the comparison rejects nothing
     rejected = reduce(lambda a, b: a | b, [F.coalesce(of[rule] > F.col(rule), F.lit(False)) for rule in GRID])
     failed = base_failed()
-    return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~rejected})
+
+
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: str = "lang", label_id: str = "doc_id", label_col: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """Statistics of every row with base_failed and kept."""
+    judged = _judged(df, labels, id_col, text_col, strata, label_id, label_col, risk, level, False)
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: str = "lang", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``df`` without the documents that base rules or cutoffs reject."""
-    judged = judge(df, labels, id_col, text_col, strata, label_id, label_col)
-    return without(df, id_col, judged.where("not kept").select(F.col(id_col).alias("id")))
+    """``df`` without the rows that base rules or cutoffs reject. Each row goes by
+    its own verdict, which is held beside it, whatever other rows have its id."""
+    judged = _judged(df, labels, id_col, text_col, strata, label_id, label_col, RISK, LEVEL, True)
+    return judged.where("kept").select("_row.*")

@@ -285,6 +285,17 @@ def test_rules_on_odd_rows(spark, odd, empty):
     assert quality_rules.judge(empty, labels).count() == 0
 
 
+def test_rows_go_by_their_own_verdict(spark):
+    """Bad rows of a null or repeated id don't take the good ones with them."""
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, good), (None, "too short"), (7, good + " seven"), (7, "short too"), (8, good), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "id": F.lit("clash"), "kept": F.lit(0)})
+    labels = spark.createDataFrame([(8, 1)], "doc_id long, quality int")
+    got = quality_rules.keep_good(df, labels)
+    assert got.columns == df.columns
+    assert sorted(got.select("doc_id", "text").collect(), key=str) == sorted([r for r in rows if r[1] and len(r[1]) > 50], key=str)
+
+
 # ---- 6 and 9
 
 
@@ -438,6 +449,17 @@ def test_near_duplicates_odd(odd, empty):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 2, 3, 4, None, 6, 7, 8]))
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """A near copy goes; another text of its id stays, and links nothing."""
+    rnd = random.Random(5)
+    first, second, third = (" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, first), (2, first + " end"), (2, second), (3, second + " end"), (4, third), (4, third + " end"), (4, third), (None, "null one"), (None, "null two"), (None, "null two")]
+    got = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = collections.Counter((r.doc_id, r.text) for r in got)
+    assert of[1, first] == 1 and of[2, second] == 1 and of[None, "null one"] == of[None, "null two"] == 1
+    assert of[4, third] + of[4, third + " end"] == 1 and len(got) == 5
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
