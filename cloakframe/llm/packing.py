@@ -18,9 +18,9 @@ extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BytePairCodec, vocabulary_path
-from .common import bounded_batches, materialize
+from .common import Texts, bounded_batches, materialize
 
 #: Open windows of one partition.
 OPEN_WINDOWS = 32
@@ -130,19 +130,22 @@ def pack_documents(
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of
     every piece; pieces of one sequence_id make a sequence of at most
-    ``capacity`` tokens. ``with_ids`` adds the piece's ids as an array."""
+    ``capacity`` tokens. ``with_ids`` adds the piece's ids as an array.
+
+    Pieces carry their ids through the written table and the merge; ids_crc32
+    is worked out at the end, from what came through."""
     path = path or vocabulary_path()
     spark = df.sparkSession
     picked = df.select(id_col, df[text_col].cast("string").alias("text"))
     id_type = dict(picked.dtypes)[id_col]
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "closed", *["ids"] * with_ids]
-    fields = f"`{id_col}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, closed boolean" + ", ids array<int>" * with_ids
+    names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "closed", "_ids"]
+    fields = f"`{id_col}` {id_type}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, closed boolean, _ids binary"
     end = end_id.to_bytes(4, "little")
 
     def rows(window: list[tuple], sequence: int, closed: bool) -> list[tuple]:
         out, at = [], 0
         for piece in window:
-            out.append((*piece[:5], sequence, at, closed, *piece[5:]))
+            out.append((*piece[:4], sequence, at, closed, piece[4]))
             at += piece[2]
         return out
 
@@ -153,7 +156,7 @@ def pack_documents(
 
         def batch_of(made: list[tuple], like: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*made, strict=True))
-            types = [like, *[pa.int64()] * 6, pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
+            types = [like, *[pa.int64()] * 5, pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         like = None
@@ -165,9 +168,7 @@ def pack_documents(
                 total = len(ids) // 4
 
                 def piece(start: int, length: int, one=one, ids=ids, total=total) -> tuple:
-                    own_ids = ids[4 * start : 4 * (start + length)]
-                    own_list = (memoryview(own_ids).cast("I").tolist(),) if with_ids else ()
-                    return (one, start, length, zlib.crc32(own_ids), total, *own_list)
+                    return (one, start, length, total, ids[4 * start : 4 * (start + length)])
 
                 for window in place(windows, total, piece, least_cut):
                     made += rows(window, sequence, True)
@@ -203,9 +204,19 @@ def pack_documents(
                 room_of.setdefault(capacity - used[best], []).append(best)
         return pdf.assign(sequence_id=sequence, offset=offset)[[c for c in names if c != "closed"]]
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of ids as arrays."""
+        for batch in batches:
+            ids = Texts(batch.column(batch.num_columns - 1))
+            lists = pa.ListArray.from_arrays(pa.array((ids.offsets // 4).astype(np.int32)), pa.array(np.frombuffer(ids.data.tobytes(), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*out, "ids"])
+
     bounded_batches(spark)
     packed = materialize(spark, picked.mapInArrow(pack, fields), "packed")
-    out = [c for c in names if c != "closed"]
+    kept = [c for c in names if c != "closed"]
     left = packed.where(~F.col("closed")).withColumn("_group", F.floor(F.shiftright("sequence_id", 32) / F.lit(MERGED_PARTITIONS)))
     merged = left.groupBy("_group").applyInPandas(merge, fields.replace(", closed boolean", ""))
-    return packed.where("closed").select(*out).unionByName(merged)
+    both = packed.where("closed").select(*kept).unionByName(merged)
+    out = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole = both.withColumn("ids_crc32", F.crc32("_ids")).select(*out, "_ids")
+    return whole.mapInArrow(listed, f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in out[1:]) + ", ids array<int>") if with_ids else whole.drop("_ids")

@@ -10,7 +10,8 @@ docs. All but the last return the columns of ``documents``.
 3. near_dedup: one document of each group of near-duplicates (five-word
    shingles, similarity 0.8 or more) stays.
 4. secrets: secrets in texts are masked, and n_chars follows.
-5. packing: texts become token sequences of at most 1024 ids.
+5. packing: texts become token sequences of at most 1024 ids; each piece has
+   its ids.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators'
 modules say; extra columns pass through the first four stages.
@@ -45,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

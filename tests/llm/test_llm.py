@@ -138,6 +138,22 @@ def test_packing(docs, odd, empty, library, capacity, windows, cut):
     assert waste < 1 and packing.pack_documents(empty).count() == 0
 
 
+def test_packed_ids(spark, docs, odd, empty, library, sf, monkeypatch):
+    """Sequences can be made of what the pipeline's last stage returns, and the
+    written table has the ids that checksums are taken of."""
+    import corpus_pipeline as pipeline
+
+    written, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda s, df, name: written.append(write(s, df, name)) or written[-1])
+    for df in (docs, odd):
+        rows = pipeline.pack(spark, df, sf).collect()
+        assert all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+        texts = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [0] for r in df.collect()}
+        assert all(r.ids == texts[r.doc_id][r.start : r.start + r.length] for r in rows)
+    assert written[0].selectExpr("sum(length(_ids))").first()[0] == 4 * sum(r.length for r in packing.pack_documents(docs).collect())
+    assert pipeline.pack(spark, empty, sf).count() == 0 and "ids" not in packing.pack_documents(docs).columns
+
+
 # ---- 4
 
 
