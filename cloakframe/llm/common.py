@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession, default: str = "/tmp/cloakframe-checkpoints"
     return found.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     is cut, lost executors lose nothing, and nothing upstream runs twice."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,16 +12,19 @@ id that holds many rows is spread over the buckets of its shard.
 
 Defined results: null text has size 1 and crc32 of no bytes (0); a null id is
 hashed as such and gets a shard like others; repeated rows each get a slot of
-their own; an empty table gives an empty table; extra columns are ignored by
-``shard_documents`` and kept by ``write_shards``.
+their own; an empty table gives an empty table; extra columns are written with
+the records.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 #: Bytes of records that one bucket holds on average.
 BUCKET_BYTES = 16 << 20
@@ -50,13 +53,16 @@ def scatter(df: DataFrame, id_col: str, size: Column, shards: int, seed: int) ->
     return df.withColumns({"_shard": shard, "_grown": grown, "_draw": F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string"), place), "_size": size})
 
 
-def shuffle_buckets(drawn: DataFrame, buckets: int, seed: int) -> DataFrame:
+def shuffle_buckets(drawn: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
     """Pass two: every bucket in Fisher-Yates order, as rows with _slot.
 
-    The bucket is sorted by its draws first, so the order follows from the seed.
+    A shard has as many buckets as its own bytes take, so that one that holds
+    most of the rows has more, not larger ones. The bucket is sorted by its
+    draws first, so the order follows from the seed.
     """
     rest = [c for c in drawn.columns if c not in ("_shard", "_draw")]
-    keyed = drawn.withColumn("_bucket", F.pmod("_draw", F.lit(buckets)).cast("int"))
+    buckets = drawn.groupBy("_shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / bucket_bytes)).alias("_buckets"))
+    keyed = drawn.join(F.broadcast(buckets), "_shard").withColumn("_bucket", F.pmod("_draw", F.col("_buckets")).cast("int")).drop("_buckets")
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy("_shard", "_bucket")
@@ -73,30 +79,26 @@ def shuffle_buckets(drawn: DataFrame, buckets: int, seed: int) -> DataFrame:
     return shuffled.select("_shard", (F.col("_start") + F.col("_at")).alias("_slot"), *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def _n_buckets(drawn: DataFrame, shards: int, bucket_bytes: int) -> int:
-    total = drawn.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    return max(1, -(-int(total) // (shards * bucket_bytes)))
-
-
 def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
-    Texts are read once; only ids and digests are shuffled.
+    Whole records are written as shards in the shared folder; all columns are
+    taken from what is read back from there.
     """
     spark = df.sparkSession
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    write_shards(df, path, id_col, text_col, shards, seed, bucket_bytes)
+    fields = [f for f in df.schema.fields if f.name in (id_col, text_col)]
+    back = spark.read.schema(StructType([*fields, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    size = F.octet_length(raw).cast("long") + F.lit(1)
-    drawn = scatter(df.select(id_col, F.crc32(raw).alias("_crc"), size.alias("_size")), id_col, F.col("_size"), shards, seed)
-    drawn = materialize(spark, drawn, "shards")
-    out = shuffle_buckets(drawn, _n_buckets(drawn, shards, bucket_bytes), seed)
-    return out.select(
+    return back.select(
         id_col,
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
+        (F.octet_length(raw).cast("long") + F.lit(1)).alias("size"),
+        F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("_shard").alias("shard"),
-        F.col("_slot").alias("slot"),
-        F.col("_grown").alias("grown_shard"),
+        "shard",
+        "slot",
+        rendezvous(id_col, shards, seed)[1].alias("grown_shard"),
     )
 
 
@@ -104,9 +106,13 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Write whole records as Parquet under ``path``/shard=N in shuffled order.
 
     Columns must be orderable (no maps). The record's slot is column ``slot``.
+    Pass one is written out, so that both counts and records of pass two come
+    from the same draws.
     """
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + F.lit(1)
-    drawn = scatter(df, id_col, size, shards, seed)
-    out = shuffle_buckets(drawn, _n_buckets(drawn, shards, bucket_bytes), seed)
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    out.select(*kept, F.col("_slot").alias("slot"), F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    records = df.select(F.col(id_col).alias("_key"), size.alias("_bytes"), F.struct("*").alias("_record"))
+    drawn = scatter(records, "_key", F.col("_bytes"), shards, seed).select("_shard", "_draw", "_size", "_record")
+    drawn = materialize(df.sparkSession, drawn, "scattered", "zstd")
+    out = shuffle_buckets(drawn, bucket_bytes, seed)
+    kept = [F.col("_record")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    out.select(*kept, F.col("_slot").cast("long").alias("slot"), F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)

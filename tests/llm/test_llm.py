@@ -69,6 +69,23 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0 and back.count() == docs.count()
 
 
+def test_shards_move_whole_records(spark, docs, monkeypatch):
+    """What op1 reports comes from records that were written; a long text and
+    an id that holds most rows take more buckets, not larger ones."""
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *rest: (paths.append(path), write(df, path, *rest)))
+    hot = docs.unionByName(docs.withColumn("doc_id", F.lit(5).cast("long"))).unionByName(docs.limit(1).withColumns({"text": F.repeat(F.lit("long "), 200_000), "doc_id": F.lit(-1).cast("long")}))
+    rows = sharding.shard_documents(hot, bucket_bytes=4096).collect()
+    back = spark.read.parquet(paths[0])
+    assert back.select(*hot.columns).exceptAll(hot).isEmpty() and back.count() == hot.count() == len(rows)
+    assert {(r.doc_id, r.shard, r.slot, r.text_crc32) for r in rows} == {(r.doc_id, r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in back.collect()}
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in places.values())
+    assert len({r.shard for r in rows if r.doc_id == 5}) == 1
+
+
 # ---- 2 and 3
 
 
