@@ -30,13 +30,17 @@ _SAME = np.arange(256, dtype=np.uint8)
 def shared_dir(spark: SparkSession, default: str = "/tmp/cloakframe-checkpoints") -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) is ``default`` set for it.
+    Only where the session has none and runs on this machine alone (local
+    tests) is ``default`` set for it; on a cluster a missing setting is an error,
+    for a folder of the driver's is not one of the executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(default)
             found = default
     return found.rstrip("/")
@@ -47,7 +51,19 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, compression: str
     is cut, lost executors lose nothing, and nothing upstream runs twice."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote, once no result reads them."""
+    for df in tables:
+        path = getattr(df, "_written_at", None) if df is not None else None
+        if isinstance(path, str):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

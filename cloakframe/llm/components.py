@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,17 +23,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-        to = materialize(spark, to, "least")
+        least = materialize(spark, to, "least")
+        to = least
         for _ in range(2):
             to = to.join(to.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.col("far").alias("root"))
         to = materialize(spark, to, "roots")
+        done = [least]
         if found is None:
             found = to
         else:
             step = to.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            done += [found, to]
             found = materialize(spark, found.join(step, "root", "left").select("node", F.coalesce("far", "root").alias("root")), "found")
         a = to.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = left.join(a, "a").join(b, "b").where("ra <> rb")
+        done.append(left)
         left = materialize(spark, joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(*done)
+    discard(left)
     return found if found is not None else spark.createDataFrame([], f"node {kind}, root {kind}")

@@ -18,7 +18,12 @@ if the Jaccard similarity of their full sets is at least ``similarity``.
 
 A true link of similarity 0.8 has 38 of 64 coordinates in common but for a
 chance of about 1 in 100,000. Posting lists and clusters beyond a task's size
-are cut into blocks, and all pairs of blocks are looked at, so none is capped.
+are dealt into blocks by the hash of the id, and each block is compared by
+itself first. What the links found so far have brought together needs no more
+comparing: one representative of each component is compared with the others,
+and then only the documents outside a group's largest component with all the
+others. So a group of near copies is posted once or twice, whatever its size,
+and still no pair of different components is left out; none is capped.
 
 Defined results: a row without words or with null text has an empty set and is
 linked with nothing; a null id links with nothing and is its own (null)
@@ -32,10 +37,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, bounded_batches, materialize, mix, sized, spread, sums, without, words
+from .common import Texts, blocks, bounded_batches, discard, materialize, mix, sized, spread, sums, without, words
 from .components import connected_components
 
 COORDINATES = 64
@@ -44,10 +49,12 @@ MATCHES = 38
 #: Counters of the sketch that orders coordinate-value pairs, and of one row of it.
 SKETCH_BITS = 18
 SKETCH, SKETCH_ROW = 1 << SKETCH_BITS, 1 << 10
-#: Documents of a posting list, or of a cluster, in one block.
-BLOCK_DOCS = 4096
+#: Documents of a posting list in one block, and of a cluster.
+LIST_DOCS, BLOCK_DOCS = 2048, 256
 #: Shingles of a cluster in one block.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
+#: Blocks of a group are numbered below it.
+MOST_BLOCKS = 1 << 31
 #: Cells of the table in which a cluster's full sets are compared.
 TABLE_CELLS = 128 << 20
 
@@ -67,7 +74,7 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(hashes), np.uint64)
         n = len(hashes)
-        for j in range(width):
+        for j in range(min(width, n)):
             rolled[: n - j] += hashes[j:] * _ROLL[j]
     out, sizes = [], []
     for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -144,12 +151,17 @@ def count_sketch(sets: DataFrame) -> np.ndarray:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH // SKETCH_ROW)), _fixed(counts.reshape(-1, SKETCH_ROW))], ["part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = _rows_of(table.column("counts"), np.int64, SKETCH_ROW).sum(0, keepdims=True)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": _fixed(total)})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # one row for each part, however many tasks sent it
+        for batch in batches:
+            for part, row in zip(batch.column(0).to_pylist(), _rows_of(batch.column(1), np.int64, SKETCH_ROW), strict=True):
+                total[part] = total[part] + row if part in total else row
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), _fixed(np.stack(list(total.values())))], ["part", "counts"])
 
     schema = "part bigint, counts binary"
-    rows = sets.select("sig").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    sent = sets.select("sig").mapInArrow(run, schema)
+    rows = sent.repartition(min(SKETCH // SKETCH_ROW, spread(sets.sparkSession)), "part").mapInArrow(add, schema).toArrow()
     counts = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), np.int64)
     if rows.num_rows:
         counts[rows["part"].to_numpy()] = _rows_of(rows["counts"], np.int64, SKETCH_ROW)
@@ -162,11 +174,12 @@ def _nibbles(sig: np.ndarray) -> np.ndarray:
     return low[:, 0::2] | (low[:, 1::2] << 4)
 
 
-def postings(sets: DataFrame, sketch: np.ndarray, matches: int, block_docs: int) -> DataFrame:
-    """(key, id, n, nib): each set under its rarest coordinate-value pairs.
+def postings(sets: DataFrame, sketch: np.ndarray, matches: int, list_docs: int, hot: bool = False) -> DataFrame:
+    """(key, block, id, n, nib): each set under its rarest coordinate-value pairs.
 
-    A pair that the sketch counts more than ``block_docs`` times has its
-    documents dealt into blocks, and each block is posted with every other one.
+    A pair that the sketch counts more than ``list_docs`` times has its
+    documents dealt into blocks by their ids, differently for each pair; each
+    is posted once. ``hot`` gives those rows only.
     """
     spark = sets.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
@@ -184,22 +197,16 @@ def postings(sets: DataFrame, sketch: np.ndarray, matches: int, block_docs: int)
             first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix] if prefix < COORDINATES else np.tile(np.arange(COORDINATES), (len(sig), 1))
             key = np.take_along_axis(tokens, first, 1).ravel()
             row = np.repeat(np.arange(len(sig)), prefix)
-            parts = -(-np.take_along_axis(often, first, 1).ravel().astype(np.int64) // block_docs)
-            hot = np.flatnonzero(parts > 1)
-            if len(hot):
-                own = (mix(tokens[row[hot], 0], 3) % parts[hot].astype(np.uint64)).astype(np.int64)
-                times = parts[hot]
-                other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                mine = np.repeat(own, times)
-                pair = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
-                with np.errstate(over="ignore"):
-                    split = mix(np.repeat(key[hot], times) + pair.astype(np.uint64), 5)
-                key = np.concatenate([np.delete(key, hot), split])
-                row = np.concatenate([np.delete(row, hot), np.repeat(row[hot], times)])
+            parts = -(-np.take_along_axis(often, first, 1).ravel().astype(np.int64) // list_docs)
+            if hot:
+                some = np.flatnonzero(parts > 1)
+                key, row, parts = key[some], row[some], parts[some]
+            draw = mix(batch.column(3).to_numpy().view(np.uint64)[row] ^ key, 3)
+            block = (draw % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), _fixed(_nibbles(sig)[row])], ["key", "id", "n", "nib"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block), batch.column(0).take(at), batch.column(1).take(at), _fixed(_nibbles(sig)[row])], ["key", "block", "id", "n", "nib"])
 
-    return sets.select("id", "n", "sig").mapInArrow(run, f"key bigint, id {dict(sets.dtypes)['id']}, n bigint, nib binary")
+    return sets.select("id", "n", "sig", F.xxhash64("id").alias("h")).mapInArrow(run, f"key bigint, block bigint, id {dict(sets.dtypes)['id']}, n bigint, nib binary")
 
 
 def by_key(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], kind: str) -> DataFrame:
@@ -276,7 +283,7 @@ def candidate_links(posted: DataFrame, matches: int, percent: int) -> DataFrame:
     coordinates, and sizes that the similarity allows."""
 
     def work(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        bounds = group_bounds([table.column("key").to_numpy()])
+        bounds = group_bounds([table.column(k).to_numpy() for k in ("key", "block")])
         sizes = np.diff(bounds)
         n = table.column("n").to_numpy()
         nib = table.column("nib").combine_chunks()
@@ -308,7 +315,7 @@ def candidate_links(posted: DataFrame, matches: int, percent: int) -> DataFrame:
         if a:
             yield np.concatenate(a), np.concatenate(b)
 
-    return by_key(posted, ["key"], work, dict(posted.dtypes)["id"])
+    return by_key(posted, ["key", "block"], work, dict(posted.dtypes)["id"])
 
 
 def exact_links(shingles: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
@@ -343,10 +350,10 @@ def exact_links(shingles: np.ndarray, at: np.ndarray, percent: int) -> list[tupl
 
 
 def verified_links(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges that hold on full sets, of members (cluster, block, id, text)."""
+    """Edges that hold on full sets, of members (key, block, id, text)."""
 
     def work(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        bounds = group_bounds([table.column(k).to_numpy() for k in ("cluster", "block")])
+        bounds = group_bounds([table.column(k).to_numpy() for k in ("key", "block")])
         texts = table.column("text").combine_chunks()
         a, b = [], []
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -361,23 +368,62 @@ def verified_links(members: DataFrame, width: int, percent: int) -> DataFrame:
         if a:
             yield np.concatenate(a), np.concatenate(b)
 
-    return by_key(members, ["cluster", "block"], work, dict(members.dtypes)["id"])
+    return by_key(members, ["key", "block"], work, dict(members.dtypes)["id"])
+
+
+def _parts(docs: Column, weight: Column, most_docs: int, most_weight: int) -> Column:
+    """Number of blocks for so many documents of such weight."""
+    return F.greatest(F.lit(1), F.ceil(docs / most_docs), F.ceil(weight / most_weight)).cast("long")
 
 
-def _blocked(spark: SparkSession, clusters: DataFrame, sizes: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
-    """(id, cluster, block): large clusters' members once for each pair of blocks."""
+def dealt_clusters(clusters: DataFrame, sizes: DataFrame, most_docs: int, most_weight: int) -> DataFrame:
+    """(key, id, n, parts, block): clusters' members, large ones' in blocks."""
     known = clusters.join(sizes, "id")
-    whole = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    joined = known.join(whole.select("cluster", parts.alias("parts")), "cluster")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = joined.select("id", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return dealt.select("id", "cluster", (F.least("own", "other").cast("long") * F.lit(1 << 20) + F.greatest("own", "other")).alias("block"))
+    whole = known.groupBy("key").agg(_parts(F.count(F.lit(1)), F.sum("n"), most_docs, most_weight).alias("parts"))
+    return known.join(whole, "key").select("key", "id", "n", "parts", F.pmod(F.xxhash64("id", "key"), F.col("parts")).alias("block"))
+
+
+def across_blocks(edges: DataFrame, large: DataFrame, links: Callable[[DataFrame], DataFrame], most_docs: int, most_weight: int) -> DataFrame:
+    """``edges`` (found inside blocks) and more, so that they span all links in
+    each group ``key`` of ``large`` (key, id, n, ...).
+
+    First one representative of each component of a group is compared with the
+    others; then each document outside the group's largest component with all
+    that aren't of its block. ``links`` makes edges of rows with key and block.
+    """
+    spark = large.sparkSession
+    rows = [c for c in large.columns if c != "block"]
+    for last in (False, True):
+        roots = connected_components(edges)
+        own = large.select(*rows).join(roots, F.col("id") == F.col("node"), "left").select(*rows, F.coalesce("root", "id").alias("_part"))
+        own = materialize(spark, own, "parts")
+        parts = own.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"), F.min("id").alias("_first"))
+        whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("_of"), F.sum("docs").alias("docs"), F.sum("weight").alias("weight"), F.max(F.struct("docs", "weight", "_part")).alias("_top")).where("_of > 1")
+        whole = materialize(spark, whole, "groups")
+        if whole.isEmpty():
+            discard(own, whole, roots)
+            break
+        if not last:
+            first = parts.select("key", F.col("_first").alias("id"))
+            picked = own.join(first, ["key", "id"]).join(whole.select("key", _parts(F.col("_of"), F.col("weight") * F.col("_of") / F.col("docs"), most_docs, most_weight).alias("_n")), "key")
+            dealt = picked.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("_n")))
+        else:
+            half = (max(1, most_docs // 2), max(1, most_weight // 2))
+            rest = _parts(F.col("docs") - F.col("_top.docs"), F.col("weight") - F.col("_top.weight"), *half)
+            sized_groups = whole.select("key", F.col("_top._part").alias("_top"), rest.alias("_rest"), _parts(F.col("_top.docs"), F.col("_top.weight"), *half).alias("_main"))
+            both = own.join(sized_groups, "key").withColumn("_is_top", F.col("_part") == F.col("_top"))
+            at = F.when(F.col("_is_top"), F.col("_rest") + F.pmod(F.xxhash64("id"), F.col("_main"))).otherwise(F.pmod(F.xxhash64("id"), F.col("_rest")))
+            others = F.sequence(F.lit(0).cast("long"), F.when(F.col("_is_top"), F.col("_rest")).otherwise(F.col("_rest") + F.col("_main")) - 1)
+            spread_out = both.withColumn("_at", at).withColumn("_other", F.explode(others))
+            dealt = spread_out.withColumn("block", F.least("_at", "_other") * F.lit(MOST_BLOCKS) + F.greatest("_at", "_other"))
+        before, edges = edges, materialize(spark, edges.unionByName(links(dealt.select(*rows, "block"))), "links")
+        discard(before, own, whole, roots)
+    return edges
 
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, matches: int = MATCHES,
-    block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
+    block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, list_docs: int = LIST_DOCS,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; component_id is the
     least id that links lead to, kept says whether that is the row's own."""
@@ -390,14 +436,31 @@ def near_duplicates(
     wide = filled.where(F.col("n") >= least).groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("x.id", "x.n", "x.sig")
     wide = materialize(spark, wide, "sets")
     sketch = count_sketch(wide)
-    candidates = candidate_links(postings(wide, sketch, matches, block_docs), matches, percent)
-    clusters = connected_components(candidates).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    blocked = materialize(spark, _blocked(spark, clusters, wide.select("id", "n"), block_docs, block_shingles), "clusters")
+    candidates = materialize(spark, candidate_links(postings(wide, sketch, matches, list_docs), matches, percent), "links")
+    if int(sketch.max()) > list_docs:
+        hot = materialize(spark, postings(wide, sketch, matches, list_docs, hot=True), "hot")
+        if not hot.isEmpty():
+            candidates = across_blocks(candidates, hot, lambda rows: candidate_links(rows, matches, percent), list_docs, MOST_BLOCKS * list_docs)
+        discard(hot)
+    roots = connected_components(candidates)
+    clusters = roots.select(F.col("node").alias("id"), F.col("root").alias("key"))
+    dealt = materialize(spark, dealt_clusters(clusters, wide.select("id", "n"), block_docs, block_shingles), "clusters")
+    discard(candidates, wide, roots)
     texts = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    members = texts.join(sized(blocked), "id").select("cluster", "block", "id", "text")
-    roots = connected_components(verified_links(members, width, percent)).select(F.col("node").alias("rep"), "root")
-    of_set = sets.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        narrow = sized(materialize(spark, rows.select("key", "block", "id"), "members"))
+        return verified_links(texts.join(narrow, "id").select("key", "block", "id", "text"), width, percent)
+
+    links = materialize(spark, verified(dealt), "verified")
+    large = dealt.where("parts > 1")
+    if not large.isEmpty():
+        links = across_blocks(links, large.drop("parts"), verified, block_docs, block_shingles)
+    roots = connected_components(links)
+    found = roots.select(F.col("node").alias("rep"), "root")
+    of_set = sets.join(found, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     of_set = materialize(spark, of_set, "components")  # so that a set of many copies is split in the join below
+    discard(dealt, links, roots)
     out = signed.join(of_set.withColumns({"_f1": F.col("f1"), "_f2": F.col("f2")}).drop("f1", "f2"), (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

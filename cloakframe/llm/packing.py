@@ -21,7 +21,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -182,13 +181,15 @@ def pack_documents(
         if made:
             yield batch_of(made, like)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Best-fit, longest piece first; ties by sequence and offset."""
-        pdf = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    def merge(table: pa.Table) -> pa.Table:
+        """Best-fit, longest piece first; ties by sequence and offset. Ids and
+        tokens are taken by index, so they stay what they were."""
+        lengths, before, at = (table.column(c).to_numpy() for c in ("length", "sequence_id", "offset"))
+        order = np.lexsort((at, before, -lengths))
         used: list[int] = []
         sequence, offset, room_of = [], [], {}
-        low = int(pdf["_group"].iloc[0]) << 32 | 1 << 62
-        for length in pdf["length"].tolist():
+        low = table.column("_group")[0].as_py() << 32 | 1 << 62
+        for length in lengths[order].tolist():
             best = -1
             for room in range(length, capacity + 1):  # least room that holds it
                 if room_of.get(room):
@@ -202,7 +203,8 @@ def pack_documents(
             used[best] += length
             if used[best] < capacity:
                 room_of.setdefault(capacity - used[best], []).append(best)
-        return pdf.assign(sequence_id=sequence, offset=offset)[[c for c in names if c != "closed"]]
+        new = {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
+        return pa.table({c: new[c] if c in new else table.column(at_of[c]).take(pa.array(order)) for c in kept})
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of ids as arrays."""
@@ -214,8 +216,9 @@ def pack_documents(
     bounded_batches(spark)
     packed = materialize(spark, picked.mapInArrow(pack, fields), "packed")
     kept = [c for c in names if c != "closed"]
+    at_of = {c: i for i, c in enumerate(names)}
     left = packed.where(~F.col("closed")).withColumn("_group", F.floor(F.shiftright("sequence_id", 32) / F.lit(MERGED_PARTITIONS)))
-    merged = left.groupBy("_group").applyInPandas(merge, fields.replace(", closed boolean", ""))
+    merged = left.groupBy("_group").applyInArrow(merge, fields.replace(", closed boolean", ""))
     both = packed.where("closed").select(*kept).unionByName(merged)
     out = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = both.withColumn("ids_crc32", F.crc32("_ids")).select(*out, "_ids")

@@ -530,3 +530,67 @@ def test_pipeline(spark, sf, odd):
         if name != "packing":
             assert now.columns == before.columns and 0 < now.count() <= before.count()
     assert pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("width", [2, 3, 5])
+def test_blocks_of_few_words(spark, width):
+    texts = [" ".join(f"w{j}" for j in range(n)) for n in range(7)]
+    for text in texts:
+        shingles, at = near_dedup.shingle_sets(common.Texts(pa.array([text])), width)
+        n = len(words(text))
+        assert np.diff(at).tolist() == [len(shingles)] == [0 if not n else max(1, n - width + 1)]
+    one = near_dedup.shingle_sets(common.Texts(pa.array(["x y", "x", "y", "a b x y"])), width)
+    parts = [near_dedup.shingle_sets(common.Texts(pa.array([t])), width)[0] for t in ("x y", "x", "y", "a b x y")]
+    assert one[0].tolist() == np.concatenate(parts).tolist()
+    assert near_dedup.keep_one_of_each(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), width=width).count() == 1
+
+
+def test_hot_lists_are_split(spark, monkeypatch):
+    """Near copies share almost all coordinates: each is posted once under a
+    pair, in blocks of about the size asked for, and they form one group."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        own[rnd.randint(0, 199)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.signatures(df, "doc_id", "text", 2).cache()
+    posted = near_dedup.postings(sets, near_dedup.count_sketch(sets), near_dedup.MATCHES, 100)
+    assert posted.count() == 1500 * 27
+    assert posted.groupBy("key", "block").count().agg(F.max("count")).first()[0] < 200
+    sizes, across = [], near_dedup.across_blocks
+
+    def seen(edges, large, links, *most):
+        def counted(rows):
+            sizes.append(rows.groupBy("key", "block").count().agg(F.max("count"), F.sum("count")).first())
+            return links(rows)
+
+        return across(edges, large, counted, *most)
+
+    monkeypatch.setattr(near_dedup, "across_blocks", seen)
+    got = near_dedup.near_duplicates(df, width=2, list_docs=100, block_docs=50).collect()
+    assert {r.component_id for r in got} == {0}
+    assert all(s[0] is None or (s[0] < 200 and s[1] < 3000) for s in sizes)
+
+
+def test_chains_across_blocks(spark):
+    """Chains of texts, each alike only to its neighbours, in tiny blocks."""
+    rows = []
+    for c in range(3):
+        line = [f"c{c}w{j}" for j in range(400)]
+        rows += [(c * 1000 + i, " ".join(line[i * 4 : i * 4 + 60])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width=2, list_docs=2, block_docs=4).collect()}
+    assert got == brute_components(rows, 2) and len({c for _, c in got.values()}) == 3
+
+
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    big = [2**60 + 1, None, 2**60 + 2, -(2**62) - 3, None]
+    df = spark.createDataFrame([(i, f"short text {k}") for k, i in enumerate(big)], "doc_id long, text string")
+    for got in (packing.pack_documents(df).collect(), packing.pack_documents(df, with_ids=True).collect()):
+        assert sorted((r.doc_id for r in got), key=str) == sorted(big, key=str)
+        assert len({r.sequence_id for r in got}) == 1 or len(got) == len(big)
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.doc_id for r in packing.pack_documents(named).collect()} == {None if i is None else f"d{i}" for i in big}
