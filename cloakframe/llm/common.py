@@ -192,9 +192,13 @@ def words(texts: Texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     after[rows[1:][filled] - 1] = True
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
-    out = np.empty(len(starts), np.uint64)
-    fold, at = _LOWER if lower else _SAME, 0
-    while at < len(starts):  # long rows go through in pieces of whole words
+    return run_hashes(data, starts, ends, _LOWER if lower else _SAME), np.searchsorted(starts, rows)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = _SAME) -> np.ndarray:
+    """64-bit hashes of runs of bytes (in order, disjoint), of any length."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # long rows go through in pieces of whole runs
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
         low, high = int(starts[at]), int(ends[upto - 1])
         up, down = _POWERS.of(high - low)
@@ -204,7 +208,7 @@ def words(texts: Texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
             s, e = starts[at:upto] - low, ends[at:upto] - low
             out[at:upto] = (sums[e] - sums[s]) * down[s]
         at = upto
-    return mix(out), np.searchsorted(starts, rows)
+    return mix(out)
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,9 +1,11 @@
 """Quality classifier (operator 6): random-indexing word vectors, pooled per
 document, and a two-layer numpy network with temperature-calibrated scores.
 
-A text's words are runs of bytes of one kind (small letters and bytes beyond
-ASCII, capitals, digits, others), known by their kind and first bytes and hashed
-into a fixed number of rows. Each row has a sparse random index vector; a word's
+A text's words are runs of bytes of one kind (small letters and those of two
+bytes, capitals, digits, others); a character of three or four bytes, as of
+scripts that don't put spaces between words, is a word of its own. Whole words
+are hashed into a fixed number of rows, which are parameters of the model as
+the width is. Each row has a sparse random index vector; a word's
 vector is the sum of the index vectors of its neighbours in the training texts,
 scaled to length 1. A document is the mean of its words' vectors, with the rates
 of repeated neighbours, of distinct words and of each kind.
@@ -30,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, bounded_batches, id_crc_mod, mix, sampled, sums
+from .common import Texts, blocks, bounded_batches, id_crc_mod, mix, run_hashes, sampled, sums
 
 #: Labelled rows that the fit takes, about.
 SAMPLE = 6000
 ROWS, WIDTH, NONZERO, NEIGHBOURS = 1 << 13, 32, 4, 2
-#: First bytes of a run that tell words apart.
-STEM = 4
 HIDDEN, STEPS, SEED = 24, 400, 6
-KINDS = 5
+KINDS, ALONE = 6, 5
 
 _KIND = np.full(256, 4, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -46,6 +46,7 @@ _KIND[97:123] = 1
 _KIND[128:] = 1
 _KIND[65:91] = 2
 _KIND[48:58] = 3
+_KIND[0xE0:] = ALONE
 
 
 def index_vectors() -> np.ndarray:
@@ -63,19 +64,18 @@ def word_rows(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = _KIND[data]
     first = np.empty(len(data), bool)
     if len(data):
+        if (data >= 0xE0).any():  # bytes inside a character are of its first byte's kind
+            spots = np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0)
+            kind = kind[np.maximum.accumulate(spots)]
         first[0] = True
-        first[1:] = kind[1:] != kind[:-1]
+        first[1:] = (kind[1:] != kind[:-1]) | (data[1:] >= 0xE0)
         first[rows[:-1][np.diff(rows) > 0]] = True
-    starts = np.flatnonzero(first & (kind > 0))
-    run = np.cumsum(first)
-    padded = np.concatenate([data, np.zeros(STEM, np.uint8)])
-    ranks = np.concatenate([run, np.zeros(STEM, run.dtype)])
-    code = kind[starts].astype(np.uint64)
-    own = run[starts]
-    for j in range(STEM):
-        byte = padded[starts + j].astype(np.uint64)
-        code = code << np.uint64(8) | np.where(ranks[starts + j] == own, byte, np.uint64(0))
-    return (mix(code, SEED) >> np.uint64(64 - 13)).astype(np.int64), kind[starts], np.searchsorted(starts, rows)
+    bounds = np.append(np.flatnonzero(first), len(data))
+    some = kind[bounds[:-1]] > 0
+    starts, ends = bounds[:-1][some], bounds[1:][some]
+    own = kind[starts]
+    code = mix(run_hashes(data, starts, ends) ^ own.astype(np.uint64), SEED)
+    return (code >> np.uint64(64 - 13)).astype(np.int64), own, np.searchsorted(starts, rows)
 
 
 def context_sums(rows: np.ndarray, at: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -136,17 +136,17 @@ def logits(x: np.ndarray, layers: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, ...]:
-    """Two layers by Adam on all rows; the classes weigh the same."""
+    """Two layers by Adam on all rows, each of which weighs the same, so that
+    scores follow the classes' shares."""
     rng = np.random.default_rng(SEED)
     layers = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     first = [np.zeros_like(p) for p in layers]
     second = [np.zeros_like(p) for p in layers]
     for t in range(1, STEPS + 1):
         w1, b1, w2, b2 = layers
         h = np.tanh(x @ w1 + b1)
         p = 1 / (1 + np.exp(-np.clip(h @ w2 + b2[0], -40, 40)))
-        g = (p - y) * weight
+        g = (p - y) / len(y)
         back = np.outer(g, w2) * (1 - h * h)
         slopes = [x.T @ back + decay * w1, back.sum(0), h.T @ g + decay * w2, np.array([g.sum()])]
         for i, s in enumerate(slopes):
@@ -171,7 +171,8 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_co
     if not total:
         return Model(0.5)
     picked = sampled(known, "_id", sample / total, seed)
-    rows = df.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).cast("string").alias("text"))
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
     shared_index = spark.sparkContext.broadcast(index_vectors())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -594,3 +594,26 @@ def test_packing_keeps_large_ids_beside_nulls(spark):
         assert len({r.sequence_id for r in got}) == 1 or len(got) == len(big)
     named = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     assert {r.doc_id for r in packing.pack_documents(named).collect()} == {None if i is None else f"d{i}" for i in big}
+
+
+def test_whole_words_count():
+    rows, kinds, at = quality_classifier.word_rows(common.Texts(pa.array(["information informal infobox", "日本語の文 ไทย", None, "naïve naïve"])))
+    assert np.diff(at).tolist() == [3, 8, 0, 2] and len(set(rows[:3].tolist())) == 3
+    assert kinds[3:11].tolist() == [quality_classifier.ALONE] * 8 and rows[-1] == rows[-2]
+    vectors = quality_classifier.index_vectors()
+    same = quality_classifier.pooled(common.Texts(pa.array(["the internal affair", "the international affair", "中文很好", "中文很坏"])), vectors)
+    assert not np.allclose(same[0], same[1]) and not np.allclose(same[2], same[3])
+
+
+def test_scores_are_calibrated(spark):
+    """Labels that are noisy by kind of text: scores come near their rates."""
+    rnd, rows = random.Random(6), []
+    kinds = [(["alpha", "beta", "gamma"], 0.9), (["delta", "epsilon", "zeta"], 0.6), (["eta", "theta", "iota"], 0.15)]
+    for i in range(3000):
+        names, rate = kinds[i % 3]
+        rows.append((i, " ".join(rnd.choice(names) for _ in range(rnd.randint(15, 40))), int(rnd.random() < rate)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("_id", F.lit("clash"))
+    got = quality_classifier.score_held_out(df.drop("quality"), df.select("doc_id", "quality")).where("held_out").collect()
+    for k, (_, rate) in enumerate(kinds):
+        own = [r.score for r in got if r.doc_id % 3 == k]
+        assert abs(sum(own) / len(own) - rate) < 0.08
