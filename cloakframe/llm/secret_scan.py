@@ -3,18 +3,27 @@
 Base patterns find assignments, access keys and long hexadecimal runs. A
 conditional random field then tags every token (run of bytes outside space and
 U+0009 to U+000D) as begin of a secret, inside one, or outside, from its shape,
-its neighbours' shapes and features of the whole file, decoded by Viterbi. It is
-fitted on windows around tokens that the base patterns cover, and on windows of
-other documents, from a bounded sample of documents (``sample`` of each kind,
-about; chosen by seeded hashes of their ids). Its spans come on top where they
-overlap no base span.
+its neighbours' shapes and features of the whole file, decoded by Viterbi. Its
+spans come on top where they overlap no base span.
+
+What it is fitted on: about ``sample`` documents, chosen by seeded hashes of
+their ids. Windows of their tokens get planted secrets of many forms (random
+values of several alphabets, bare, quoted, behind key words, behind prefixes,
+in connection strings, in armoured blocks) or planted harmless strings that
+look alike (links, dates, paths, names in code, numbers, rules of dashes);
+others stay as they are. Matches of the base patterns count as secrets (at most
+``PER_DOCUMENT`` windows of a document), and in half of all windows the features
+that tell those patterns (hexadecimal run, key word) are masked. So the field
+learns what random values look like rather than the patterns. The texts may hold
+secrets that nobody marked: windows in which a first fit takes an unmarked token
+for one are left out of the second.
 
 Decoding is exact: a secret in the best sequence scores more than the same
 tokens outside. Tokens over which no stretch can do so, by a bound of its
 transitions, are outside in every best sequence, and Viterbi runs between them.
 
 Defined results: null and empty texts have no spans; null ids are scanned but
-not learnt from; without training windows the field adds nothing. Repeated rows
+not learnt from; without a document of some tokens the field adds nothing. Repeated rows
 get equal results; an empty table gives an empty table; extra columns are
 ignored. Offsets are code points, ends exclusive.
 """
@@ -22,7 +31,10 @@ ignored. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, sampled
 
 #: The base patterns, their least lengths, and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -43,10 +55,14 @@ KINDS = ["assign", "access", "hex", "crf"]
 #: What stands in every assignment, in small letters.
 MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-SAMPLE = 300
-#: Tokens of a training window, windows of one document, and steps of the fit.
-WINDOW, PER_DOCUMENT, STEPS = 24, 4, 100
-FEATURES, FILE_FEATURES = 1 << 10, 8
+#: Documents that the field is fitted on, about.
+SAMPLE = 500
+#: Tokens of a training window, base windows of one document, least windows in
+#: all (few documents give more each), and steps of the fit.
+WINDOW, PER_DOCUMENT, LEAST_WINDOWS, STEPS = 24, 4, 1200, 100
+#: Probability of outside below which the first fit doubts an unmarked token.
+DOUBT = 0.95
+FEATURES, FILE_FEATURES = 1 << 11, 8
 OUT, BEGIN, INSIDE = 0, 1, 2
 KNOWN_TOKENS = 400_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -77,24 +93,57 @@ _HEX_TOKEN = re.compile(rb"[^0-9a-zA-Z]*[0-9a-fA-F]{8,}[^0-9a-zA-Z]*")
 _MARKED = re.compile("|".join(MARKS).encode(), re.IGNORECASE)
 
 
-def shape_of(token: bytes) -> tuple[bytes, bool, bytes]:
+_LOWER_RUN = re.compile(rb"[a-z\x80-\xff]+")
+_LETTERS = re.compile(rb"[A-Za-z]")
+_VOWELS = bytes(c for c in range(256) if chr(c) not in "aeiouyAEIOUY")
+_CREDENTIAL = re.compile(rb"[a-z0-9+]+://[^/@:\s]*:[^/@\s]+@")
+#: Tokens from this length on are looked at for how random they are.
+LOOKED_AT = 8
+
+Shape = tuple[bytes, bool, bytes, tuple[int, ...]]
+
+
+def randomness(token: bytes) -> tuple[int, ...]:
+    """How random a token looks: shares of distinct bytes and of vowels among
+    letters, its longest run of small letters, kinds of characters, and
+    whether it is a link, or one with a password."""
+    if len(token) < LOOKED_AT:
+        return ()
+    letters = len(_LETTERS.findall(token))
+    vowels = len(token.translate(None, _VOWELS))
+    run = max(map(len, _LOWER_RUN.findall(token)), default=0)
+    kinds = token.translate(_KINDS)
+    groups = (b"a" in kinds) + 2 * (b"A" in kinds) + 4 * (b"9" in kinds)
+    link = 2 if _CREDENTIAL.search(token) else 1 if b"://" in token or b"www." in token else 0
+    return len(set(token)) * 8 // len(token), vowels * 8 // max(1, letters) if letters > 3 else 9, min(7, run // 2), groups, link, min(3, token.count(b"/")), min(5, token.count(b"-")), min(3, token.count(b"."))
+
+
+def shape_of(token: bytes) -> Shape:
     """All that a token's features depend on: kinds of its bytes, whether it is
-    a hexadecimal run, and which word of an assignment stands in it."""
+    a hexadecimal run, which word of an assignment stands in it, and how random
+    it looks."""
     mark = _MARKED.search(token)
-    return token.translate(_KINDS), _HEX_TOKEN.fullmatch(token) is not None, mark[0].lower() if mark else b""
+    return token.translate(_KINDS), _HEX_TOKEN.fullmatch(token) is not None, mark[0].lower() if mark else b"", randomness(token)
+
 
+#: Places of the features that tell the base patterns.
+BASE_NAMES = (0, 1)
 
-def shape_features(shape: tuple[bytes, bool, bytes]) -> list[int]:
+
+def shape_features(shape: Shape) -> list[int]:
     """Feature slots of a token's shape."""
-    kinds, is_hex, mark = shape
+    kinds, is_hex, mark, odd = shape
     core = kinds.strip(b"\"'`,;()[]{}")
     n = max(1, len(core))
     changes = sum(a != b for a, b in zip(core, core[1:], strict=False)) / n
-    squeezed = bytes(k for i, k in enumerate(core) if not i or k != core[i - 1])[:8].decode("latin1")
+    squeezed = bytes(k for i, k in enumerate(core) if not i or k != core[i - 1])[:6].decode("latin1")
+    size = min(12, len(core) // 4)
     names = [
-        f"length {min(9, len(core).bit_length())}", f"long {min(12, len(core) // 4)}", f"digits {int(core.count(b'9') / n * 6)}", f"capitals {int(core.count(b'A') / n * 6)}", f"changes {int(changes * 6)}",
-        f"shape {squeezed}", f"quoted {kinds[:1] in (b'"', b"'")}", f"equals {b'=' in core}", f"ends {kinds[-1:] in (b':', b'=')}", f"hex {is_hex}", f"key {mark.decode()}",
+        f"hex {is_hex}", f"key {mark.decode()}",
+        f"length {min(9, len(core).bit_length())}", f"long {size}", f"digits {int(core.count(b'9') / n * 6)}", f"capitals {int(core.count(b'A') / n * 6)}", f"changes {int(changes * 6)} {min(3, size // 2)}",
+        f"shape {squeezed}", f"quoted {kinds[:1] in (b'"', b"'")}", f"equals {b'=' in core}", f"ends {kinds[-1:] in (b':', b'=')}", f"fence {kinds[:4] == b'----'} {kinds[-4:] == b'----'}",
         f"mark {kinds.decode('latin1') if len(kinds) < 3 and not kinds.isalnum() else ''}",
+        *([f"distinct {odd[0]} {min(3, size // 2)}", f"vowels {odd[1]} {min(3, size // 2)}", f"run {odd[2]}", f"groups {odd[3]} {min(3, size // 2)}", f"link {odd[4]}", f"marks {odd[5]} {odd[6]} {odd[7]}"] if odd else [f"plain {i}" for i in range(6)]),
     ]
     out = []
     for name in names:
@@ -105,7 +154,7 @@ def shape_features(shape: tuple[bytes, bool, bytes]) -> list[int]:
     return out
 
 
-N_NAMES = len(shape_features((b"a", False, b"")))
+N_NAMES = len(shape_features((b"a", False, b"", ())))
 
 
 def file_features(text: bytes, n_tokens: int) -> np.ndarray:
@@ -134,26 +183,29 @@ def _forbid(moves: np.ndarray) -> np.ndarray:
     return moves
 
 
-def fit_field(slots: np.ndarray, files: np.ndarray, tags: np.ndarray, decay: float = 1e-5) -> Field:
+def fit_field(slots: np.ndarray, files: np.ndarray, tags: np.ndarray, steps: int = STEPS, decay: float = 1e-5) -> tuple[Field, np.ndarray]:
     """Maximum likelihood by Adam over windows: ``slots`` (n, w, names), -1
-    beyond a document's edge; ``files`` (n, features); ``tags`` (n, w), -1 there."""
+    beyond a document's edge; ``files`` (n, features); ``tags`` (n, w), -1 there.
+    Returns the field, and each tag's probability at each place."""
     n, w, _ = slots.shape
     inside = tags >= 0
-    padded = np.where(slots < 0, FEATURES, slots)
-    edge = np.full((n, 1, slots.shape[2]), FEATURES)
-    views = [padded, np.concatenate([edge, padded[:, :-1]], 1), np.concatenate([padded[:, 1:], edge], 1)]
+    # most tokens share their slots with others: weights are summed once for each kind
+    rows, row_of = np.unique(np.where(slots < 0, FEATURES, slots).reshape(n * w, -1), axis=0, return_inverse=True)
+    rows, row_of = np.concatenate([rows, np.full((1, rows.shape[1]), FEATURES)]), row_of.reshape(n, w)
+    edge = np.full((n, 1), len(rows) - 1)
+    views = [row_of, np.concatenate([edge, row_of[:, :-1]], 1), np.concatenate([row_of[:, 1:], edge], 1)]
     weights = [np.zeros((FEATURES + 1, 3)) for _ in views] + [np.zeros((files.shape[1], 3)), np.zeros((3, 3))]
     first = [np.zeros_like(p) for p in weights]
     second = [np.zeros_like(p) for p in weights]
     gold = np.zeros((n, w, 3))
-    rows, places = np.nonzero(inside)
-    gold[rows, places, tags[rows, places]] = 1
+    at = np.nonzero(inside)
+    gold[(*at, tags[at])] = 1
     both = inside[:, 1:] & inside[:, :-1]
     pairs = np.zeros((3, 3))
     np.add.at(pairs, (tags[:, :-1][both], tags[:, 1:][both]), 1)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         moves = _forbid(weights[4])
-        emit = sum(weights[k][views[k]].sum(2) for k in range(3)) + (files @ weights[3])[:, None, :]
+        emit = sum(weights[k][rows].sum(1)[views[k]] for k in range(3)) + (files @ weights[3])[:, None, :]
         emit = np.where(inside[..., None], emit, 0.0)
         alpha = np.zeros((n, w, 3))
         beta = np.zeros((n, w, 3))
@@ -175,7 +227,8 @@ def fit_field(slots: np.ndarray, files: np.ndarray, tags: np.ndarray, decay: flo
         for k in range(3):
             s = np.zeros((FEATURES + 1, 3))
             for c in range(3):
-                s[:, c] = np.bincount(views[k].ravel(), np.repeat(gap[..., c].ravel(), slots.shape[2]), FEATURES + 1)
+                of_row = np.bincount(views[k].ravel(), gap[..., c].ravel(), len(rows))
+                s[:, c] = np.bincount(rows.ravel(), np.repeat(of_row, rows.shape[1]), FEATURES + 1)
             s[FEATURES] = 0
             slopes.append(s + decay * weights[k])
         slopes += [files.T @ gap.sum(1) + decay * weights[3], (seen - pairs) / n + decay * weights[4]]
@@ -183,7 +236,7 @@ def fit_field(slots: np.ndarray, files: np.ndarray, tags: np.ndarray, decay: flo
             first[i] = 0.9 * first[i] + 0.1 * s
             second[i] = 0.999 * second[i] + 0.001 * s * s
             weights[i] = weights[i] - 0.05 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return Field(*(x[:FEATURES] for x in weights[:3]), weights[3], np.clip(_forbid(weights[4]), -30, 30))
+    return Field(*(x[:FEATURES] for x in weights[:3]), weights[3], np.clip(_forbid(weights[4]), -30, 30)), p
 
 
 def viterbi(emit: np.ndarray, moves: np.ndarray, start: int | None = OUT, end: int | None = OUT) -> list[int]:
@@ -211,7 +264,7 @@ class Tagger:
         # what a token of a secret can gain over outside by its transitions, at most
         allowed = np.delete(field.moves.ravel(), OUT * 3 + INSIDE)
         self.gain = 2 * max(0.0, float(allowed.max() - field.moves[OUT, OUT]))
-        self.shapes: dict[tuple[bytes, bool, bytes], int] = {}
+        self.shapes: dict[Shape, int] = {}
         self.at: dict[bytes, int] = {}
         self.scores = np.zeros((1024, 9))
 
@@ -294,70 +347,165 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def windows_of(text: str, seed: int) -> list[tuple[list[list[int]], np.ndarray, list[int]]]:
-    """Training windows of one text: slots, file features and tags."""
+_ALPHABETS = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+
+
+def _value(rng: random.Random, low: int = 16, high: int = 64, alphabet: str | None = None) -> str:
+    letters = alphabet or rng.choice(_ALPHABETS[:2] + _ALPHABETS)
+    return "".join(rng.choices(letters, k=rng.randint(low, high)))
+
+
+def _name(rng: random.Random, low: int = 2, high: int = 8) -> str:
+    """Letters that can be spoken, as of names."""
+    return "".join(rng.choice("bcdfgklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(low, high) // 2 + 1))
+
+
+def planted_secret(rng: random.Random) -> tuple[list[str], list[int]]:
+    """Tokens of a made-up secret, some with words around it, and their tags."""
+    form = rng.randrange(9)
+    if form == 0:  # an armoured block
+        words = rng.choice([["KEY"], ["PRIVATE", "KEY"], ["RSA", "PRIVATE", "KEY"], ["PGP", "PRIVATE", "KEY", "BLOCK"]])
+        lines = [_value(rng, 40, 76, _ALPHABETS[1]) for _ in range(rng.randint(1, 8))]
+        fence = lambda word: [f"-----{word}", *words[:-1], f"{words[-1]}-----"]
+        tokens = [*fence("BEGIN"), *lines, *fence("END")]
+        return tokens, [BEGIN] + [INSIDE] * (len(tokens) - 1)
+    if form == 1:  # a connection string
+        host = _name(rng) + rng.choice(["", ".local", ".example.com"]) + rng.choice(["", f":{rng.randint(1000, 9999)}"])
+        value = f"{_name(rng)}{rng.choice(['', 'ql', 's'])}://{_name(rng)}:{_value(rng, 6, 24, _ALPHABETS[0] + '!$%')}@{host}/{_name(rng)}"
+    elif form == 2:  # parts behind dots
+        value = ".".join([rng.choice(["ey", "", "v2"]) + _value(rng, 18, 50, _ALPHABETS[0] + "-_") for _ in range(3)])
+    elif form in (3, 4):  # a prefix that tells the issuer
+        mark = rng.choice("_--_")
+        value = mark.join([_name(rng, 1, 4)[: rng.randint(2, 5)] for _ in range(rng.randint(1, 2))] + [str(rng.randint(10**8, 10**12)) for _ in range(rng.choice([0, 0, 0, 1, 2]))] + [_value(rng, 20, 48, rng.choice([_ALPHABETS[0], _ALPHABETS[5]]))])
+    else:
+        value = _value(rng) + rng.choice(["", "", "", "=", "=="])
+    quote = rng.choice(["", "", "", "", "", '"', "'"])
+    value = quote + value + quote + rng.choice(["", "", "", "", "", ";", ",", "."])
+    word = rng.choice(["key", "auth", "pwd", "credential", "signature", "private", "cookie", "session", _name(rng)])
+    before = [] if rng.random() < 0.5 else rng.choice([["Bearer"], ["Authorization:", "Bearer"], ["Basic"], [word + ":"], [word, "="], [word.upper(), "="], [word, "is"]])
+    if rng.random() < 0.2:
+        return [*before, word + rng.choice("=:") + value], [OUT] * len(before) + [BEGIN]
+    return [*before, value], [OUT] * len(before) + [BEGIN]
+
+
+def planted_harmless(rng: random.Random, near: list[str]) -> list[str]:
+    """Tokens that look like secrets and are none; ``near`` are words of the text."""
+    words = [w for w in near if w.isalpha()] or ["word"]
+    some = lambda low, high: [rng.choice(words) for _ in range(rng.randint(low, high))]
+    number = lambda low, high: str(rng.randint(10 ** (low - 1), 10**high - 1))
+    forms = [
+        lambda: [f"https://{_name(rng)}.{rng.choice(['com', 'org', 'example'])}/" + "/".join(some(1, 4)).lower() + rng.choice(["", "/", f"?id={number(1, 9)}", f"/{number(4, 8)}.html"])],
+        lambda: [f"{_name(rng)}{rng.choice(['.', '_', ''])}{_name(rng)}{rng.choice(['', number(1, 3)])}@{_name(rng)}.example.{rng.choice(['com', 'org'])}"],
+        lambda: [f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}Z"],
+        lambda: ["-".join(number(3, 4) for _ in range(rng.randint(2, 4)))],
+        lambda: [number(8, 19)],
+        lambda: ["+" + " ".join(number(2, 4) for _ in range(4)).replace(" ", rng.choice([" ", "-", "."]))],
+        lambda: ["_".join(some(2, 5)).lower() + rng.choice(["", "()", "=None,"])],
+        lambda: ["".join(w.capitalize() for w in some(2, 5)) + rng.choice(["", "2", "()", "Test"])],
+        lambda: ["-".join(some(2, 6)).lower()],
+        lambda: ["".join(some(2, 5)).lower()],
+        lambda: ["".join(some(2, 5)).upper()],
+        lambda: ["/" + "/".join(some(2, 6)).lower() + rng.choice(["/", ".txt", ".py"])],
+        lambda: [rng.choice("-=_*#~.") * rng.randint(3, 60)],
+        lambda: [f'<{rng.choice(["div", "a", "span"])}', f'{rng.choice(["class", "id", "href"])}="{"-".join(some(1, 3)).lower()}">'],
+        lambda: [f"v{rng.randint(0, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}-{rng.choice(['beta', 'rc1', 'alpha.2'])}"],
+        lambda: [f"{rng.choice(words)}={rng.choice(words)}"], lambda: [f"{rng.choice(words)}:", rng.choice(words)],
+        lambda: [rng.choice(words) + rng.choice("!#$%&*|") * rng.randint(1, 4)], lambda: [f"ISBN-{number(9, 13)}"], lambda: [f"{rng.choice(words)}{number(1, 4)}", f"{number(1, 6)}{rng.choice(['kg', 'km', 'GB', 'px'])}"],
+        lambda: ["-----", *some(1, 3), "-----"],
+        lambda: ["Bearer", *some(1, 3)],
+    ]
+    return " ".join(rng.choice(forms)()).split()
+
+
+def windows_of(text: str, seed: int, count: int = 3, skipped: int | None = None) -> list[tuple[list[list[int]], np.ndarray, list[int], bool]]:
+    """Training windows of one text: slots, file features, tags, and whether
+    they hold something planted that is known to be harmless. ``count``
+    windows at random places, of which half get a secret and half something
+    harmless; and those of base matches but for the kind ``skipped``, whose
+    places aren't learnt from at all."""
     raw = text.encode()
     spots = [m.span() for m in _WORD.finditer(raw)]
     if not spots:
         return []
+    tokens = [raw[s:e] for s, e in spots]
     bytes_at = (lambda i: len(text[:i].encode())) if len(raw) != len(text) else (lambda i: i)
     tags = np.zeros(len(spots), int)
     starts = np.array([s for s, _ in spots])
     ends = np.array([e for _, e in spots])
-    marks = []
-    for s, _, e in base_spans(text):
+    marks, unseen = [], np.zeros(len(spots), bool)
+    for s, kind, e in base_spans(text):
         low, high = np.searchsorted(ends, bytes_at(s), "right"), np.searchsorted(starts, bytes_at(e), "left")
-        if high > low:
+        if kind == skipped:
+            unseen[low:high] = True
+        elif high > low:
             if not tags[low]:
                 tags[low] = BEGIN
             tags[low + 1 : high] = INSIDE
             marks.append(int(low))
-    rng = np.random.default_rng(seed)
-    centres = (marks or rng.integers(0, len(spots), 2).tolist())[:PER_DOCUMENT]
-    file = file_features(raw, len(spots))
+    rng = random.Random(seed)
+    words = [t.decode("utf-8", "replace") for t in tokens[:200]]
     out = []
-    for c in centres:
-        low = max(0, c - int(rng.integers(2, WINDOW - 4)))
+    for k, c in enumerate([rng.randrange(len(spots)) for _ in range(count)] + marks[:PER_DOCUMENT]):
+        low = max(0, c - rng.randint(2, WINDOW - 5))
         if tags[low] == INSIDE:
             low = c
-        part = range(low, min(len(spots), low + WINDOW))
-        out.append(([shape_features(shape_of(raw[spots[i][0] : spots[i][1]])) for i in part], file, tags[part.start : part.stop].tolist()))
+        high = min(len(spots), low + WINDOW)
+        if unseen[low:high].any():
+            continue
+        own, own_tags = tokens[low:high], tags[low:high].tolist()
+        harmless = k < count and k % 2 == 1
+        if k < count:
+            new, new_tags = planted_secret(rng) if k % 2 == 0 else (planted_harmless(rng, words), None)
+            at = rng.randint(0, len(own))
+            if at == len(own) or own_tags[at] != INSIDE:
+                own = own[:at] + [t.encode() for t in new] + own[at:]
+                own_tags = own_tags[:at] + (new_tags or [OUT] * len(new)) + own_tags[at:]
+                first = max(0, min(at, len(own) - WINDOW))
+                while first and own_tags[first] == INSIDE:
+                    first -= 1
+                own, own_tags = own[first : first + WINDOW], own_tags[first : first + WINDOW]
+        slots = [shape_features(shape_of(t)) for t in own]
+        if rng.random() < 0.5:
+            for s in slots:
+                for i in BASE_NAMES:
+                    s[i] = -1
+        out.append((slots, file_features(raw, len(spots)), own_tags, harmless))
     return out
 
 
-def train(df: DataFrame, id_col: str, text_col: str, sample: int, seed: int) -> Field | None:
-    """A field from windows of about ``sample`` documents with base matches and
-    as many of the others; None without matches."""
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = F.col("text").rlike("(?i)(" + "|".join(MARKS) + r")[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    counts = rows.groupBy(marked.alias("m")).count().collect()
-    sizes = {r["m"]: r["count"] for r in counts}
-    if not sizes.get(True):
+def train(df: DataFrame, id_col: str, text_col: str, sample: int, seed: int, skipped: int | None = None) -> Field | None:
+    """A field from windows of about ``sample`` documents; None without any.
+    ``skipped`` is a base kind whose matches aren't learnt from."""
+    total = df.count()
+    if not total:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), F.lit(2**32)) / F.lit(float(2**32))
-    share = F.when(marked, F.lit(min(1.0, sample / sizes[True]))).otherwise(F.lit(min(1.0, sample / max(1, sizes.get(False, 0)))))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    each = 2 * max(1, -(-LEAST_WINDOWS // (2 * min(sample, total))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(str(i), *w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows_of(t, seed + len(t))]
+            made = [(str(i), *w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows_of(t, seed + zlib.crc32(str(i).encode()), min(each, 60), skipped)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m in made], pa.string()), pa.array([np.array(m[1], np.int32).tobytes() for m in made], pa.binary()), pa.array([m[2].tobytes() for m in made], pa.binary()), pa.array([np.array(m[3], np.int32).tobytes() for m in made], pa.binary())],
-                ["id", "slots", "file", "tags"],
+                [pa.array([m[0] for m in made], pa.string()), pa.array([np.array(m[1], np.int32).tobytes() for m in made], pa.binary()), pa.array([m[2].tobytes() for m in made], pa.binary()), pa.array([np.array(m[3], np.int32).tobytes() for m in made], pa.binary()), pa.array([m[4] for m in made], pa.bool_())],
+                ["id", "slots", "file", "tags", "harmless"],
             )
 
-    got = rows.where(draw <= share).mapInArrow(run, "id string, slots binary, file binary, tags binary").toArrow()
-    made = sorted(zip(*[got[c].to_pylist() for c in ("id", "slots", "file", "tags")], strict=True))
+    got = sampled(rows, "id", sample / total, seed).mapInArrow(run, "id string, slots binary, file binary, tags binary, harmless boolean").toArrow()
+    made = sorted(zip(*[got[c].to_pylist() for c in ("id", "slots", "file", "tags", "harmless")], strict=True))
     if not made:
         return None
     slots = np.full((len(made), WINDOW, N_NAMES), -1)
     tags = np.full((len(made), WINDOW), -1)
-    for k, (_, s, _, t) in enumerate(made):
+    for k, (_, s, _, t, _) in enumerate(made):
         own = np.frombuffer(t, np.int32)
         tags[k, : len(own)] = own
         slots[k, : len(own)] = np.frombuffer(s, np.int32).reshape(len(own), N_NAMES)
     if not (tags == BEGIN).any():
         return None
-    return fit_field(slots, np.array([np.frombuffer(f) for _, _, f, _ in made]), tags)
+    files = np.array([np.frombuffer(m[2]) for m in made])
+    _, p = fit_field(slots, files, tags, STEPS // 2)
+    unsure = ((tags == OUT) & (p[..., OUT] < DOUBT)).any(1) & ~np.array([m[4] for m in made])
+    return fit_field(slots[~unsure], files[~unsure], tags[~unsure])[0]
 
 
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 8) -> Field | None:
