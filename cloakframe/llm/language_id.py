@@ -30,6 +30,9 @@ from .common import Texts, blocks, bounded_batches, id_crc_mod, sums
 SAMPLE = 400
 BINS = 1 << 13
 UNKNOWN = "und"
+#: Scores below which a prediction that differs from the given language is no
+#: prediction, and from which it is taken against it, on so many bytes.
+UNSURE, SURE, LETTERS = 0.35, 0.5, 200
 
 #: Families of languages by code (fixed values); another code is its own family.
 FAMILIES = {
@@ -228,9 +231,11 @@ def identify_held_out(df: DataFrame, id_col: str = "doc_id", folds: int = 4, fol
     return found.select(id_col, F.coalesce(id_crc_mod(id_col, folds) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 9) -> DataFrame:
-    """``df`` without the rows whose language can't be told (``und``); where
-    ``lang_col`` (a string) is null, it becomes the predicted language."""
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 9, unsure: float = UNSURE, sure: float = SURE, letters: int = LETTERS) -> DataFrame:
+    """``df`` without the rows whose language can't be told: ``und``, or a
+    prediction of less than ``unsure`` that differs from ``lang_col`` (a string).
+    ``lang_col`` becomes the predicted language where it is null, and where a
+    prediction of at least ``sure`` contradicts it on ``letters`` or more bytes."""
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(train(df, F.lit(True), id_col, text_col, lang_col, sample, seed))
@@ -239,9 +244,14 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _Predictor(shared.value)
         for batch in batches:
-            names, _ = predict(batch.column(text_at))
+            names, score = predict(batch.column(text_at))
             lang = batch.column(lang_at)
-            filled = pc.coalesce(lang, pa.array(names, lang.type))
-            yield batch.set_column(lang_at, batch.schema.field(lang_at).with_nullable(True), filled).filter(pa.array(names != UNKNOWN))
+            own = np.array(lang.to_pylist(), object)
+            long = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)) >= letters
+            other = own != names
+            taken = np.array([v is None for v in own], bool) | (other & (score >= sure) & long)
+            filled = pa.array(np.where(taken, names, own), lang.type)
+            kept = (names != UNKNOWN) & ~(other & (score < unsure))
+            yield batch.set_column(lang_at, batch.schema.field(lang_at).with_nullable(True), filled).filter(pa.array(kept))
 
     return df.mapInArrow(run, df.schema)

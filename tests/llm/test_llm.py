@@ -664,3 +664,14 @@ def test_field_finds_what_patterns_miss(spark, sf):
         tagger = secret_scan.Tagger(secret_scan.train(df, "doc_id", "text", secret_scan.SAMPLE, 8, skipped=kind))
         kept = [(t, s, e) for _, t in rows for s, k, e in secret_scan.base_spans(t) if k == kind]
         assert kept and sum(any(a < e and s < b for a, b in secret_scan.field_spans(t, tagger)) for t, s, e in kept) >= 0.9 * len(kept)
+
+
+def test_predictions_decide(spark, sf):
+    """Wrong and missing languages are put right, sure ones are left alone."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where("n_chars > 300")
+    wrong = F.when(F.col("doc_id") % 100 == 0, F.lit("fr")).when(F.col("doc_id") % 50 == 1, F.lit(None)).otherwise(F.col("lang"))
+    got = {r.doc_id: r.lang for r in language_id.keep_identified(docs.withColumn("lang", wrong)).collect()}
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    touched = [i for i in true if i % 50 == 1 or i % 100 == 0]
+    assert sum(got.get(i) == true[i] for i in touched) >= 0.9 * len(touched) and len(got) >= 0.995 * len(true)
+    assert sum(got.get(i) == true[i] for i in true if i not in touched) >= 0.99 * (len(true) - len(touched))
