@@ -6,7 +6,8 @@ component, predictor 1). The Huffman table gives difference category s a code
 of 9 - s bits (nine codes, the all-ones word stays free), so each sample takes
 nine bits with its extra bits, and frames are coded and decoded as arrays.
 
-Reading parses the RIFF chunks and their idx1 index, decodes the frames, and
+Reading parses the RIFF chunks and their idx1 index, decodes the frames (its own
+as arrays, other lossless one-component images by their headers), and
 detects shots: a cut is where the histogram difference of neighbouring frames
 is above the mean plus a multiple of the deviation of the differences before.
 
@@ -83,12 +84,98 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [JPEG_HEAD + data[i * size : (i + 1) * size].replace(b"\xff", b"\xff\x00") + JPEG_TAIL for i in range(n)]
 
 
+def _symbols(counts: bytes, values: bytes) -> np.ndarray:
+    """For each 16 bits to come: length of the code there and its symbol, in one
+    number (256 * length + symbol); 0 where no code is."""
+    table, code, k = np.zeros(1 << 16, np.uint16), 0, 0
+    for length, n in enumerate(counts, 1):
+        for value in values[k : k + n]:
+            if (code + 1) << (16 - length) > 1 << 16:
+                raise ValueError("a Huffman table has too many codes")
+            table[code << (16 - length) : (code + 1) << (16 - length)] = 256 * length + value
+            code += 1
+        code, k = code << 1, k + n
+    return table
+
+
+def decode_image(image: bytes) -> np.ndarray:
+    """Samples (rows, columns) of a lossless JPEG image (SOF3) of one component
+    of 2 to 8 bits, whatever its size, tables and predictor."""
+    if image[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG image")
+    at, tables, shape, precision = 2, {}, None, 8
+    while True:
+        if at + 4 > len(image) or image[at] != 0xFF:
+            raise ValueError("a JPEG segment is cut short")
+        marker, size = image[at + 1], int.from_bytes(image[at + 2 : at + 4], "big")
+        body = image[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = _symbols(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker == 0xC3:
+            precision, rows, columns, parts = struct.unpack(">BHHB", body[:6])
+            if parts != 1 or not 2 <= precision <= 8 or not rows or not columns:
+                raise ValueError("only one component of 2 to 8 bits is read")
+            shape = rows, columns
+        elif marker == 0xDD and any(body):
+            raise ValueError("restart intervals aren't read")
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("not the lossless process")
+        elif marker == 0xDA:
+            break
+    if shape is None or body[0] != 1 or body[2] >> 4 not in tables or not 1 <= body[3] <= 7:
+        raise ValueError("a scan without its frame, table or predictor")
+    table, predictor, shift = tables[body[2] >> 4].tolist(), body[3], body[5] & 15
+    data = image[at : image.rfind(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
+    bits, spot, have, total = 0, 0, 0, 8 * len(data)
+    rows, columns = shape
+    out = [[0] * columns for _ in range(rows)]
+    used = 0
+    for y in range(rows):
+        row, up = out[y], out[y - 1] if y else None
+        for x in range(columns):
+            while have < 32:
+                bits = (bits << 8 | (data[spot] if spot < len(data) else 0)) & 0xFFFFFFFFFF
+                spot, have = spot + 1, have + 8
+            found = table[bits >> (have - 16) & 0xFFFF]
+            length, s = found >> 8, found & 255
+            if not length or s > 16 or used + length > total:
+                raise ValueError("a frame's data is no code or is cut short")
+            have -= length
+            used += length + (s if s < 16 else 0)
+            d = 32768 if s == 16 else 0
+            if 0 < s < 16:
+                have -= s
+                d = bits >> have & ((1 << s) - 1)
+                if not d >> (s - 1):
+                    d -= (1 << s) - 1
+            if up is None:
+                guess = row[x - 1] if x else 1 << (precision - shift - 1)
+            elif not x:
+                guess = up[0]
+            else:
+                a, b, c = row[x - 1], up[x], up[x - 1]
+                guess = (a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[predictor - 1]
+            row[x] = (guess + d) & 0xFFFF
+    if used > total:
+        raise ValueError("a frame is cut short")
+    return (np.array(out, np.int64) << shift).astype(np.uint8)
+
+
 def decode_frames(images: list[bytes]) -> np.ndarray:
-    """Frames of such images; ValueError for anything else."""
+    """Frames (n, rows, columns) of intra-coded lossless images of one size.
+
+    Images as ``encode_frames`` makes them are decoded together, as arrays;
+    others one by one by their own headers. ValueError for what can't be read."""
     size, head, tail = FRAME * 9 // 8, len(JPEG_HEAD), len(JPEG_TAIL)
-    for x in images:
-        if not (x.startswith(JPEG_HEAD) and x.endswith(JPEG_TAIL)):
-            raise ValueError("not a lossless 24 x 24 frame with the nine-bit table")
+    if not all(x.startswith(JPEG_HEAD) and x.endswith(JPEG_TAIL) for x in images):
+        frames = [decode_image(x) for x in images]
+        if len({f.shape for f in frames}) > 1:
+            raise ValueError("frames differ in size")
+        return np.stack(frames)
     data = b"".join([x[head:-tail].replace(b"\xff\x00", b"\xff") for x in images])
     if len(data) != size * len(images):
         raise ValueError("a frame is cut short")
@@ -135,7 +222,7 @@ def riff_chunks(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, in
 
 
 def read_avi(media: bytes) -> np.ndarray:
-    """Frames (n, 24, 24) of an AVI file, found by its index."""
+    """Frames (n, rows, columns) of an AVI file, found by its index."""
     data = memoryview(media)
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
@@ -162,12 +249,12 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     moves = np.empty(n - 1)
     last = None
     for i in range(0, n, PASS_FRAMES):
-        part = frames[i : i + PASS_FRAMES].reshape(-1, FRAME) // (256 // BINS)
+        part = frames[i : i + PASS_FRAMES].reshape(-1, frames[0].size) // (256 // BINS)
         spot = part + (np.arange(len(part)) * BINS)[:, None]
         bars = np.bincount(spot.ravel(), minlength=len(part) * BINS).reshape(-1, BINS)
         if last is not None:
             bars = np.concatenate([last, bars])
-        got = np.abs(np.diff(bars, axis=0)).sum(axis=1) / (2 * FRAME)
+        got = np.abs(np.diff(bars, axis=0)).sum(axis=1) / (2 * frames[0].size)
         low = i - (last is not None)
         moves[low : low + len(got)] = got
         last = bars[-1:]

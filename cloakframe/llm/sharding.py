@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize, shared_dir
+from .common import discard, materialize, shared_dir
 
 #: Bytes of records that one bucket holds on average.
 BUCKET_BYTES = 16 << 20
@@ -58,7 +58,8 @@ def shuffle_buckets(drawn: DataFrame, bucket_bytes: int, seed: int) -> DataFrame
 
     A shard has as many buckets as its own bytes take, so that one that holds
     most of the rows has more, not larger ones. The bucket is sorted by its
-    draws first, so the order follows from the seed.
+    draws first, so the same input in the same splits, with the same seed and
+    number of shuffle partitions, gives the same order.
     """
     rest = [c for c in drawn.columns if c not in ("_shard", "_draw")]
     buckets = drawn.groupBy("_shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / bucket_bytes)).alias("_buckets"))
@@ -89,30 +90,40 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
     write_shards(df, path, id_col, text_col, shards, seed, bucket_bytes)
     fields = [f for f in df.schema.fields if f.name in (id_col, text_col)]
-    back = spark.read.schema(StructType([*fields, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    slot, shard = unused("slot", df.columns), unused("shard", df.columns)
+    back = spark.read.schema(StructType([*fields, StructField(slot, LongType()), StructField(shard, IntegerType())])).parquet(path)
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     return back.select(
         id_col,
         (F.octet_length(raw).cast("long") + F.lit(1)).alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        "shard",
-        "slot",
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
         rendezvous(id_col, shards, seed)[1].alias("grown_shard"),
     )
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write whole records as Parquet under ``path``/shard=N in shuffled order.
 
-    Columns must be orderable (no maps). The record's slot is column ``slot``.
-    Pass one is written out, so that both counts and records of pass two come
-    from the same draws.
+    Columns must be orderable (no maps). The record's slot is column ``slot``;
+    where records have columns ``slot`` or ``shard``, they stay, and the new
+    ones get underscores appended. Pass one is written out, so that both counts
+    and records of pass two come from the same draws.
     """
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + F.lit(1)
     records = df.select(F.col(id_col).alias("_key"), size.alias("_bytes"), F.struct("*").alias("_record"))
     drawn = scatter(records, "_key", F.col("_bytes"), shards, seed).select("_shard", "_draw", "_size", "_record")
     drawn = materialize(df.sparkSession, drawn, "scattered", "zstd")
     out = shuffle_buckets(drawn, bucket_bytes, seed)
-    kept = [F.col("_record")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
-    out.select(*kept, F.col("_slot").cast("long").alias("slot"), F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    slot, shard = unused("slot", df.columns), unused("shard", df.columns)
+    out.select("_record.*", F.col("_slot").cast("long").alias(slot), F.col("_shard").alias(shard)).write.partitionBy(shard).parquet(path)
+    discard(drawn)

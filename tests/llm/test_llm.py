@@ -675,3 +675,56 @@ def test_predictions_decide(spark, sf):
     touched = [i for i in true if i % 50 == 1 or i % 100 == 0]
     assert sum(got.get(i) == true[i] for i in touched) >= 0.9 * len(touched) and len(got) >= 0.995 * len(true)
     assert sum(got.get(i) == true[i] for i in true if i not in touched) >= 0.99 * (len(true) - len(touched))
+
+
+def lossless(frame, predictor, bits=8):
+    """A lossless JPEG of other tables and predictors, bit by bit."""
+    import struct
+
+    rows, columns = frame.shape
+    x, stream = frame.astype(int).tolist(), ""
+    for i in range(rows):
+        for j in range(columns):
+            if not i:
+                guess = x[0][j - 1] if j else 1 << (bits - 1)
+            elif not j:
+                guess = x[i - 1][0]
+            else:
+                a, b, c = x[i][j - 1], x[i - 1][j], x[i - 1][j - 1]
+                guess = [a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1][predictor - 1]
+            d = x[i][j] - guess
+            s = abs(d).bit_length()
+            stream += f"{s:05b}" + (f"{d if d > 0 else d + (1 << s) - 1:0{s}b}" if s else "")
+    stream += "1" * (-len(stream) % 8)
+    data = bytes(int(stream[k : k + 8], 2) for k in range(0, len(stream), 8)).replace(b"\xff", b"\xff\x00")
+    segment = lambda m, body: struct.pack(">BBH", 0xFF, m, len(body) + 2) + body
+    counts = [0] * 16
+    counts[4] = 17
+    table = bytes([0x01, *counts, *range(17)])
+    return b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xC3, struct.pack(">BHHB3B", bits, rows, columns, 1, 1, 0x11, 0)) + segment(0xC4, table) + segment(0xDA, bytes([1, 1, 0x10, predictor, 0, 0])) + data + b"\xff\xd9"
+
+
+def test_other_lossless_frames():
+    rng = np.random.default_rng(4)
+    for predictor in range(1, 8):
+        frames = [rng.integers(0, 256, (5, 9), dtype=np.uint8), np.full((5, 9), 255, np.uint8)]
+        images = [lossless(f, predictor) for f in frames]
+        assert (media.decode_frames(images) == np.stack(frames)).all()
+        assert media.shots(media.decode_frames(images * 3)) != []
+    with pytest.raises(ValueError):
+        media.decode_frames([images[0], lossless(frames[0][:4], 1)])
+    with pytest.raises(ValueError):
+        media.decode_image(images[0][:-20] + b"\xff\xd9")
+    mixed = media.encode_frames(np.zeros((1, 24, 24), np.uint8)) + [lossless(np.zeros((24, 24), np.uint8), 3)]
+    assert (media.decode_frames(mixed) == 0).all()
+
+
+def test_shards_keep_clashing_columns(spark, odd, empty, tmp_path):
+    clashing = odd.withColumns({c: F.lit(f"own {c}") for c in ("slot", "_slot", "_size", "_grown", "_bucket", "_record", "_key", "Shard_")})
+    sharding.write_shards(clashing, str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(ODD) and back.select(*clashing.columns).exceptAll(clashing).isEmpty()
+    assert {"slot_", "shard__"} <= set(back.columns)
+    got = sharding.shard_documents(clashing).collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(ODD)
+    sharding.write_shards(empty, str(tmp_path / "e"))
