@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import Texts, blocks, bounded_batches, id_crc_mod, sums
 
-#: Documents of each language that the machines are fitted on, about.
-SAMPLE = 400
+#: Documents of each language that the machines are fitted on, about; documents
+#: in all (with many languages each gets fewer), and languages learnt, the most
+#: frequent ones.
+SAMPLE, SAMPLE_TOTAL, MOST_LANGUAGES = 400, 12_000, 128
 BINS = 1 << 13
 UNKNOWN = "und"
 #: Scores below which a prediction that differs from the given language is no
@@ -172,9 +174,11 @@ def train(df: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: s
     """A model from about ``sample`` usable documents per language, chosen by
     seeded hashes of their ids; None where there are none."""
     rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
+    sample = max(20, min(sample, SAMPLE_TOTAL // len(sizes)))
     share = F.lit(0.0)
     for one, n in sorted(sizes.items()):
         share = F.when(F.col(lang_col).cast("string") == one, F.lit(min(1.0, sample / n))).otherwise(share)
