@@ -4,17 +4,25 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; what it returns is written as Parquet and read again as the next one's
 docs. All but the last return the columns of ``documents``.
 
-1. language: documents whose language can't be told go; a null lang is filled.
+1. language: documents whose language can't be told go (null texts, texts
+   without a letter, unsure predictions that differ from the given language); a
+   null lang is filled, and one that a sure prediction contradicts is replaced.
+   Without any lang no language is learnt, and all rows go.
 2. quality_rules: documents that the base rules or the cutoffs chosen on
-   ``labels`` reject go.
+   ``labels`` reject go, each row by its own verdict; null and empty texts fail.
+   Without labels, or with too few, the base rules alone decide.
 3. near_dedup: one document of each group of near-duplicates (five-word
-   shingles, similarity 0.8 or more) stays.
-4. secrets: secrets in texts are masked, and n_chars follows.
+   shingles, similarity 0.8 or more) stays, that of the least id; of rows that
+   repeat id and text one stays, and so does a null id's text, which links with
+   nothing. Texts without words stay.
+4. secrets: secrets in texts are masked, and n_chars follows; a null text stays
+   null. No row goes.
 5. packing: texts become token sequences of at most 1024 ids; each piece has
-   its ids.
+   its ids. A null or empty text is the single end id; repeated rows are packed
+   each; a null id is carried as such.
 
-Nulls, empty texts, repeated rows and empty tables are handled as the operators'
-modules say; extra columns pass through the first four stages.
+An empty table goes through every stage as an empty table. Extra columns,
+whatever their names, pass through the first four stages; the last ignores them.
 """
 
 from __future__ import annotations
