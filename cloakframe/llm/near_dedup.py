@@ -161,7 +161,7 @@ def count_sketch(sets: DataFrame) -> np.ndarray:
 
     schema = "part bigint, counts binary"
     sent = sets.select("sig").mapInArrow(run, schema)
-    rows = sent.repartition(min(SKETCH // SKETCH_ROW, spread(sets.sparkSession)), "part").mapInArrow(add, schema).toArrow()
+    rows = sent.repartition("part").mapInArrow(add, schema).toArrow()
     counts = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), np.int64)
     if rows.num_rows:
         counts[rows["part"].to_numpy()] = _rows_of(rows["counts"], np.int64, SKETCH_ROW)
@@ -246,8 +246,8 @@ def by_key(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    parts = spread(rows.sparkSession)
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
+    # without a number, so that small partitions are joined at run time
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def group_bounds(columns: list[np.ndarray]) -> np.ndarray:

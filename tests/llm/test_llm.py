@@ -506,7 +506,12 @@ def test_components(spark):
     for a, b in edges:
         x, y = top(a), top(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got, rounds, few = ({r.node: r.root for r in components.connected_components(frame, n).collect()} for n in (10**6, 0, 100))
+    assert got == rounds == few
+    named = spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "x"), ("y", "z"), (None, "q")], "a string, b string")
+    assert {r.node: r.root for r in components.connected_components(named).collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+    assert components.connected_components(frame.limit(0)).count() == 0
     assert got == {i: top(i) for a, b in edges for i in (a, b) if a != b or any(i in e for e in edges if e[0] != e[1])}
 
 
