@@ -8,7 +8,9 @@ end, the original's offset; null where the view equals the text.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("orig_
 #: NFC changes nothing in texts of characters below U+0300.
 MAY_CHANGE = "[^\u0000-˿]"
 HALFWIDTH = "[｡-ﾟ]"
+_HALFWIDTH = re.compile(HALFWIDTH)
 #: Voiced and half-voiced marks, and how they stand alone.
 VOICED, SEMI_VOICED = "ﾞ", "ﾟ"
 ALONE = {VOICED: "゛", SEMI_VOICED: "゜"}
@@ -73,6 +76,9 @@ LANGUAGE_FOLDS = {"ja": ("halfwidth_katakana",)}
 
 def detect_view(text: str, folds: tuple[str, ...] = ()) -> tuple[str, list[int] | None]:
     """View and map (None: the text itself). Unknown folds raise KeyError."""
+    own = [FOLDS[name] for name in folds]
+    if unicodedata.is_normalized("NFC", text) and not (own and _HALFWIDTH.search(text)):
+        return text, None
     view, at = composed(text, list(range(len(text) + 1)))
     for name in folds:
         view, at = FOLDS[name](view, at)
@@ -81,8 +87,8 @@ def detect_view(text: str, folds: tuple[str, ...] = ()) -> tuple[str, list[int]
 
 @F.pandas_udf(VIEW)
 def _views(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-    rows = [detect_view(t, LANGUAGE_FOLDS.get(g, ())) for t, g in zip(texts, languages, strict=True)]
-    return pd.DataFrame({"text": [r[0] for r in rows], "orig_pos": [r[1] for r in rows]})
+    rows = [(None, None) if t is None else detect_view(t, LANGUAGE_FOLDS.get(g, ())) for t, g in zip(texts, languages, strict=True)]
+    return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "orig_pos": pd.Series([r[1] for r in rows], dtype=object)})
 
 
 #: So that the optimizer neither repeats the Arrow step nor moves it into an explode.
@@ -95,7 +101,7 @@ def needs_view(text: Column, language: Column) -> Column:
 
 
 def view_of(text: Column, language: Column) -> Column:
-    """struct(text, orig_pos) for rows that ``needs_view``."""
+    """struct(text, orig_pos); of a null text (one that doesn't need a view) nulls."""
     return _views(text, language)
 
 

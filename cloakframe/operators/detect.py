@@ -9,18 +9,25 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.languages import CUSTOM
-from .rules import Rule
+from .rules import CONTEXT_WORDS, Rule
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity_type", T.StringType()), T.StructField("score", T.DoubleType())])
 SPANS = T.ArrayType(SPAN)
 THRESHOLD = 0.4
 
 
+def once(x: Column) -> Column:
+    """``x``, worked out once for each row: the optimizer neither repeats it
+    where it is used several times nor moves filters on it below. Filters on
+    other columns should come before the step that uses this."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -69,6 +76,53 @@ def detect_rules(text: Column, language: Column, rules: Sequence[Rule]) -> Colum
     return F.concat(*[rule_spans(text, language, r) for r in rules]) if rules else no_spans()
 
 
+#: What a context word adds, and the least score it leads to.
+BOOST, LEAST_BOOSTED = 0.35, 0.4
+#: Characters before a span in which a context word counts.
+BEFORE = 60
+
+
+def boosted(spans: Column, text: Column) -> Column:
+    """Spans with higher scores where a context word of their type stands
+    before them: as a whole word, in any case (scripts without spaces: anywhere)."""
+
+    def raised(s: Column) -> Column:
+        low = F.greatest(s["start"] - BEFORE, F.lit(0))
+        near = F.substring(text, low + 1, s["start"] - low)
+        told = F.lit(False)
+        for kind, words in CONTEXT_WORDS.items():
+            plain = "|".join(re.escape(w) if w.isascii() else w for w in words if w.isascii())
+            other = "|".join(w for w in words if not w.isascii())
+            pattern = "|".join(x for x in (rf"(?i)(?<![A-Za-z])(?:{plain})(?![A-Za-z])" if plain else "", other) if x)
+            told = F.when(s["entity_type"] == kind, near.rlike(pattern)).otherwise(told)
+        score = F.least(F.lit(1.0), F.greatest(s["score"] + BOOST, F.lit(LEAST_BOOSTED)))
+        return span(s["start"], s["end"], s["entity_type"], F.when(told, score).otherwise(s["score"]))
+
+    return F.transform(spans, raised)
+
+
+def needle_spans(df: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """(key, start, end, entity_type, score, value): every occurrence of a table
+    of strings, of any size (those of one string may overlap).
+
+    An equi-join of the heads (up to three characters) at every place with the
+    strings' heads, then a comparison of the rest. Nulls and empty strings are
+    no needles; repeated ones count once.
+    """
+    listed = needles.select(F.col(needle).cast("string").alias("value")).where("length(value) > 0").distinct()
+    listed = listed.select("value", F.least(F.length("value"), F.lit(HEAD)).alias("_k")).withColumn("_head", F.substring(F.col("value"), F.lit(1), F.col("_k")))
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text")).where("length(_text) > 0")
+    places = rows.select(key, "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("start"))
+    heads = places.select(key, F.substring(F.col("_text"), F.col("start") + 1, F.lit(HEAD)).alias("_three"), "_text", "start")
+    each = heads.select(key, "_text", "start", F.explode(F.array_distinct(F.array(*[F.substring(F.col("_three"), F.lit(1), F.lit(k)) for k in range(1, HEAD + 1)]))).alias("_head"))
+    found = each.join(listed, "_head").where(F.substring(F.col("_text"), F.col("start") + 1, F.length("value")) == F.col("value"))
+    return found.select(key, "start", (F.col("start") + F.length("value")).alias("end"), F.lit(CUSTOM).alias("entity_type"), F.lit(1.0).alias("score"), "value")
+
+
+#: Characters of a needle that the join is on.
+HEAD = 3
+
+
 def deny_spans(text: Column, needles: Sequence[str]) -> Column:
     """Every plain occurrence of listed strings: CUSTOM, score 1."""
     out = no_spans()

@@ -14,7 +14,7 @@ from .detect import value_of
 from .spans import EDGE
 
 #: Surname particles of languages that put the given name first.
-PARTICLES = "al bin binti da das de degli del della den der di dos du el la le ten ter van von".split()
+PARTICLES = ["al", "bin", "binti", "da", "das", "de", "degli", "del", "della", "den", "der", "di", "dos", "du", "el", "la", "le", "ten", "ter", "van", "von"]
 
 ENTRIES = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]))
 PIECES = T.ArrayType(
@@ -139,11 +139,11 @@ def pieces_with_parts(text: str, merged: list[dict], language: str) -> tuple[lis
     return pieces, [{"label": k, "value": v} for k, v in mapping.items()]
 
 
-def with_split_labels(df: DataFrame, text: str, merged: str, language: str) -> DataFrame:
+def with_split_labels(df: DataFrame, text: str, merged: str, language: str, pieces: str = "pieces", mapping: str = "mapping") -> DataFrame:
     """``df`` with pieces and mapping by ``pieces_with_parts``, in an Arrow pass
     that leaves the other columns alone."""
     at = [df.columns.index(c) for c in (text, merged, language)]
-    schema = T.StructType([*df.schema.fields, T.StructField("pieces", PIECES), T.StructField("mapping", ENTRIES)])
+    schema = T.StructType([*df.schema.fields, T.StructField(pieces, PIECES), T.StructField(mapping, ENTRIES)])
     entry = pa.struct([("label", pa.string()), ("value", pa.string())])
     piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("value", pa.string()), ("label", pa.string())])
 
@@ -151,7 +151,7 @@ def with_split_labels(df: DataFrame, text: str, merged: str, language: str) -> D
         for batch in batches:
             made = [pieces_with_parts(*row) for row in zip(*[batch.column(i).to_pylist() for i in at], strict=True)]
             columns = [pa.array([m[k] for m in made], pa.list_(kind)) for k, kind in enumerate((piece, entry))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "pieces", "mapping"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, pieces, mapping])
 
     return df.mapInArrow(run, schema)
 

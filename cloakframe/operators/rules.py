@@ -61,6 +61,14 @@ RULES: tuple[Rule, ...] = (
 #: checked types score as after their check.
 SCAN_SCORES = {"jp_mobile": 0.6, "jp_toll_free": 0.6, "jp_landline": 0.5, "postal_bare": 0.3, "my_number": 1.0}
 
+#: Words near a value that speak for its type.
+CONTEXT_WORDS: dict[str, list[str]] = {
+    "PHONE_NUMBER": ["電話", "電話番号", "携帯", "TEL", "Tel", "連絡先", "phone", "mobile"],
+    "JP_POSTAL_CODE": ["郵便番号", "郵便", "住所", "宛先", "所在地", "〒", "postal", "zip"],
+    "JP_MY_NUMBER": ["マイナンバー", "個人番号", "my number", "individual number"],
+    "CREDIT_CARD": ["クレジットカード", "カード番号", "カード", "クレカ", "支払い"],
+}
+
 
 def rules_of(entities: tuple[str, ...] | None = None, languages: tuple[str, ...] | None = None, least: float = 0.0, profile: str = "rules") -> tuple[Rule, ...]:
     """Rules that can still yield something; the rest never reaches the plan.

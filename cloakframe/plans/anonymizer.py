@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import AUTO, DEFAULT_ENTITIES, DEFAULT_LANGUAGES, LANGUAGES, STRUCTURED_ENTITIES, UnsupportedLanguageError, check_language, guess_language
+from ..functions.languages import AUTO, DEFAULT_ENTITIES, DEFAULT_LANGUAGES, LANGUAGE_CLASSES, LANGUAGES, OPTIONAL_ENTITIES, STRUCTURED_ENTITIES, UnsupportedLanguageError, check_language, guess_language
 from ..functions.normalize import detect_view, needs_view, to_original, view_of
 from ..operators import detect as D
 from ..operators import labels as L
@@ -29,6 +29,7 @@ class AnonymizerConfig:
     ``profile`` is ``rules`` or ``scan`` (model-free scores, and deny-listed
     values are masked even if allowed). ``drop_model_overlaps`` drops a model's
     spans that overlap structured ones; otherwise their rests stay masked.
+    ``context`` raises the scores of spans that have a word of their type nearby.
     ``normalize`` looks for values in the detection view of texts that need one.
     """
 
@@ -42,6 +43,7 @@ class AnonymizerConfig:
     split_names: bool = False
     profile: str = "rules"
     detector: Detector | None = None
+    context: bool = False
     drop_model_overlaps: bool = False
     normalize: bool = True
 
@@ -58,56 +60,79 @@ class AnonymizerConfig:
         return guess_language(text) if self.language == AUTO else F.lit(self.language)
 
 
-def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerConfig()) -> DataFrame:
-    """``df`` with _lang and _spans (merged, in the original's offsets).
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
-    Narrow. Rows of plain characters stay in the JVM; only those whose view may
-    differ go through Arrow, and all rows if there is a model, whose values are
+
+_STEPS = ("_text", "_lang", "_view", "_ruled", "_denied", "_found", "_model", "_kept", "_spans", "_valued")
+
+
+def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerConfig(), names: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with _text (null as empty), _lang and _spans (merged, in the
+    original's offsets); ``names`` are other names for them.
+
+    Narrow and one scan. Of rows whose view may differ the text goes through
+    Arrow, of others a null; of all rows if there is a model, whose values are
     propagated to their repeats.
     """
-    entities = tuple(e for e in config.entities if e in STRUCTURED_ENTITIES) if config.profile == "scan" else config.entities
-    rules = rules_of(entities, config.languages, config.threshold, config.profile)
-    base = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    base = base.withColumn("_lang", config.language_of(F.col("_text")))
+    n = names or {c: unused(c, df.columns) for c in _STEPS}
+    entities = tuple(e for e in config.entities if e in STRUCTURED_ENTITIES + OPTIONAL_ENTITIES) if config.profile == "scan" else config.entities
+    rules = rules_of(entities, config.languages, 0.0 if config.context else config.threshold, config.profile)
+    base = df.withColumn(n["_text"], F.coalesce(F.col(text).cast("string"), F.lit("")))
+    base = base.withColumn(n["_lang"], D.once(config.language_of(F.col(n["_text"]))))
+    raw, language = F.col(n["_text"]), F.col(n["_lang"])
     allow = tuple({v for a in config.allow_list for v in (a, detect_view(a)[0])})
 
-    view, back, needles = F.col("_text"), None, config.deny_list
-    if config.normalize:  # only rows whose view may differ pass through Arrow; rules come once, after it
-        may = needs_view(F.col("_text"), F.col("_lang"))
-        same = base.where(~may).withColumn("_view", F.struct(F.col("_text").alias("text"), F.lit(None).cast("array<int>").alias("orig_pos")))
-        base = same.unionByName(base.where(may).withColumn("_view", view_of(F.col("_text"), F.col("_lang"))))
-        view, back, needles = F.col("_view.text"), F.col("_view.orig_pos"), tuple(detect_view(n)[0] for n in config.deny_list)
-    found = base.withColumns({"_ruled": D.detect_rules(view, F.col("_lang"), rules), "_denied": D.deny_spans(view, needles)})
+    view, back, needles = raw, None, config.deny_list
+    if config.normalize:
+        base = base.withColumn(n["_view"], view_of(F.when(needs_view(raw, language), raw), language))
+        view, back, needles = F.coalesce(F.col(n["_view"])["text"], raw), F.col(n["_view"])["orig_pos"], tuple(detect_view(x)[0] for x in config.deny_list)
+    ruled, denied = D.detect_rules(view, language, rules), D.deny_spans(view, needles)
+    if config.context:
+        ruled = D.boosted(ruled, view)
+    found = base.withColumns({n["_ruled"]: D.once(ruled), n["_denied"]: D.once(denied)})
+    own, listed = F.col(n["_ruled"]), F.col(n["_denied"])
     if back is not None:
-        found = found.withColumns({c: to_original(F.col(c), back) for c in ("_ruled", "_denied")}).drop("_view")
-    ruled = D.not_allowed(F.col("_ruled"), F.col("_text"), allow) if config.profile == "scan" else F.col("_ruled")
-    plain = found.withColumn("_found", F.concat(ruled, "_denied")).drop("_ruled", "_denied")
+        own, listed = to_original(own, back), to_original(listed, back)
+    if config.profile == "scan":
+        own = D.not_allowed(own, raw, allow)
+    plain = found.withColumn(n["_found"], D.once(F.concat(own, listed)))
+    hits = F.col(n["_found"])
     if config.detector is not None:
-        model = D.of_types(config.detector(F.col("_text"), F.col("_lang")), config.entities)
-        with_model = plain.withColumn("_model", model)
-        kept = D.outside_of(F.col("_model"), F.col("_found")) if config.drop_model_overlaps else F.col("_model")
-        with_model = with_model.withColumn("_found", F.concat("_found", kept)).drop("_model")
-        plain = with_model.withColumn("_found", propagate(F.col("_text"), F.col("_found")))
-    final = D.at_least(F.col("_found"), config.threshold)
+        with_model = plain.withColumn(n["_model"], D.once(D.of_types(config.detector(raw, language), config.entities)))
+        kept = D.outside_of(F.col(n["_model"]), hits) if config.drop_model_overlaps else F.col(n["_model"])
+        plain = with_model.withColumn(n["_found"], propagate(raw, F.concat(hits, kept)))
+    final = D.at_least(hits, config.threshold)
     if config.profile != "scan":
-        final = D.not_allowed(final, F.col("_text"), allow)
-    # each step is a column of its own, so that none is worked out more than once
-    kept = plain.withColumn("_kept", final)
-    return kept.withColumn("_spans", merge(F.col("_kept"), F.col("_text"))).drop("_found", "_kept")
+        final = D.not_allowed(final, raw, allow)
+    kept = plain.withColumn(n["_kept"], D.once(final))
+    out = kept.withColumn(n["_spans"], D.once(merge(F.col(n["_kept"]), raw)))
+    return out.drop(*[n[c] for c in ("_view", "_ruled", "_denied", "_found", "_model", "_kept")])
 
 
 def anonymize(df: DataFrame, text: str = "text", config: AnonymizerConfig = AnonymizerConfig()) -> DataFrame:
     """``df`` with masked_text, mapping (ordered array(label, value)), entities
-    (spans) and pieces. Labels are per row; no shuffle."""
-    found = with_spans(df, text, config)
+    (spans) and pieces. Labels are per row; no shuffle.
+
+    A null text stays null and has no entities. All columns of ``df`` stay as
+    they are; where it has columns of these names, the new ones get underscores
+    appended. Filters on other columns belong before this step.
+    """
+    n = {c: unused(c, df.columns) for c in _STEPS}
+    out = {c: unused(c, df.columns) for c in ("masked_text", "mapping", "entities", "pieces")}
+    found = with_spans(df, text, config, n)
     if config.split_names:
-        labelled = L.with_split_labels(found, "_text", "_spans", "_lang")
+        labelled = L.with_split_labels(found, n["_text"], n["_spans"], n["_lang"], out["pieces"], out["mapping"])
     else:
-        valued = found.withColumn("_valued", L.valued_spans(F.col("_text"), F.col("_spans")))
-        labelled = valued.withColumn("pieces", L.label_pieces(F.col("_valued"), F.col("_lang"))).drop("_valued")
-        labelled = labelled.withColumn("mapping", L.mapping_of(F.col("pieces")))
-    out = labelled.withColumns({"masked_text": L.spliced(F.col("_text"), F.col("pieces")), "entities": F.col("_spans")})
-    return out.drop("_text", "_lang", "_spans")
+        valued = found.withColumn(n["_valued"], L.valued_spans(F.col(n["_text"]), F.col(n["_spans"])))
+        labelled = valued.withColumn(out["pieces"], D.once(L.label_pieces(F.col(n["_valued"]), F.col(n["_lang"]))))
+        labelled = labelled.withColumn(out["mapping"], L.mapping_of(F.col(out["pieces"])))
+    masked = F.when(F.col(text).isNotNull(), L.spliced(F.col(n["_text"]), F.col(out["pieces"])))
+    done = labelled.withColumns({out["masked_text"]: masked, out["entities"]: F.col(n["_spans"])})
+    return done.drop(*[n[c] for c in ("_text", "_lang", "_spans", "_valued")])
 
 
 def deanonymize(df: DataFrame, text: str = "masked_text", mapping: str = "mapping") -> DataFrame:
@@ -117,7 +142,8 @@ def deanonymize(df: DataFrame, text: str = "masked_text", mapping: str = "mappin
 
 def scan(df: DataFrame, name: str, text: str = "text", config: AnonymizerConfig = AnonymizerConfig(profile="scan")) -> DataFrame:
     """Findings of all texts: places, types and scores, never the values."""
-    return S.findings(with_spans(df.select(name, text), text, config), name, text, "_spans")
+    rows = df.select(F.col(name).alias("file"), F.col(text).alias("text"), *([config.language_col] if config.language_col else []))
+    return S.findings(with_spans(rows, "text", config), "file", "text", "_spans")
 
 
 def anonymize_conversations(df: DataFrame, conv: str, turn: str, text: str, config: AnonymizerConfig = AnonymizerConfig()) -> DataFrame:
@@ -127,18 +153,19 @@ def anonymize_conversations(df: DataFrame, conv: str, turn: str, text: str, conf
     together; it follows from the classes that its messages hold, so that
     messages needn't be gathered.
     """
-    if config.language_col is None and config.language == AUTO:
-        from ..functions.languages import LANGUAGE_CLASSES
-
+    texts = df.select(F.col(conv), F.col(turn), F.col(text))
+    if config.language_col is not None:
+        texts = df.select(F.col(conv), F.col(turn), F.col(text), F.col(config.language_col))
+    elif config.language == AUTO:
+        spoken = unused("_spoken", df.columns)
         marks = [F.max(F.coalesce(F.col(text).rlike(c), F.lit(False))).alias(f"_m{i}") for i, (_, c) in enumerate(LANGUAGE_CLASSES)]
         language = F.lit("en")
         for i, (code, _) in reversed(list(enumerate(LANGUAGE_CLASSES))):
             language = F.when(F.col(f"_m{i}"), F.lit(code)).otherwise(language)
-        spoken = df.groupBy(conv).agg(*marks).select(conv, language.alias("_spoken"))
-        df = df.join(spoken, conv)
-        config = AnonymizerConfig(**{**config.__dict__, "language_col": "_spoken"})
-    masked = anonymize(df, text, config)
+        texts = texts.join(df.groupBy(conv).agg(*marks).select(conv, language.alias(spoken)), conv)
+        config = replace(config, language_col=spoken)
+    masked = anonymize(texts, text, config)
     return L.mask_conversations(masked, conv, turn, text, "pieces")
 
 
-__all__ = ["DEFAULT_LANGUAGES", "AnonymizerConfig", "anonymize", "anonymize_conversations", "deanonymize", "scan", "with_spans"]
+__all__ = ["DEFAULT_LANGUAGES", "AnonymizerConfig", "anonymize", "anonymize_conversations", "deanonymize", "scan", "unused", "with_spans"]

@@ -127,8 +127,8 @@ def masked_sql(spans: str, source: str = "documents", keys: str = "doc_id", text
 
 def doc_spans(spark: SparkSession, sf_dir: str, names: list[str] = _DOC, merged: bool = True) -> DataFrame:
     """documents with spans of some rules."""
-    docs = table(spark, sf_dir, "documents").withColumn("_raw", D.detect_rules(F.col("text"), F.lit("en"), [_RULES[n] for n in names]))
-    return docs.withColumn("spans", merge(F.col("_raw"), F.col("text")) if merged else F.col("_raw")).drop("_raw")
+    docs = table(spark, sf_dir, "documents").withColumn("_raw", D.once(D.detect_rules(F.col("text"), F.lit("en"), [_RULES[n] for n in names])))
+    return docs.withColumn("spans", D.once(merge(F.col("_raw"), F.col("text"))) if merged else F.col("_raw")).drop("_raw")
 
 
 def exploded(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
@@ -140,7 +140,7 @@ def _masked(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("EMAIL_A
     rules = ["email", "us_phone"] if len(names) == 2 else _DOC
     found = doc_spans(spark, sf_dir, rules)
     valued = found.withColumn("_v", L.valued_spans(F.col("text"), F.col("spans")))
-    return valued.withColumn("pieces", L.label_pieces(F.col("_v"), F.lit("en"))).withColumns({"mapping": L.mapping_of(F.col("pieces")), "masked_text": L.spliced(F.col("text"), F.col("pieces"))}).drop("_v")
+    return valued.withColumn("pieces", D.once(L.label_pieces(F.col("_v"), F.lit("en")))).withColumns({"mapping": L.mapping_of(F.col("pieces")), "masked_text": L.spliced(F.col("text"), F.col("pieces"))}).drop("_v")
 
 
 @query(masked_sql(labelled_sql(spans_sql(["email", "us_phone"]))))
@@ -331,8 +331,9 @@ _CONV_LABELS = f"""
 
 
 def _conv_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _conversations(spark, sf_dir).withColumn("_s", merge(D.deny_spans(F.col("text"), _TERMS), F.col("text")))
-    return found.withColumn("_v", L.valued_spans(F.col("text"), F.col("_s"))).withColumn("pieces", L.label_pieces(F.col("_v"), F.lit("en")))
+    denied = _conversations(spark, sf_dir).withColumn("_d", D.once(D.deny_spans(F.col("text"), _TERMS)))
+    found = denied.withColumn("_s", D.once(merge(F.col("_d"), F.col("text"))))
+    return found.withColumn("_v", L.valued_spans(F.col("text"), F.col("_s"))).withColumn("pieces", D.once(L.label_pieces(F.col("_v"), F.lit("en")))).drop("_d", "_s", "_v")
 
 
 @query(f"SELECT conv_id, turn, CAST(\"start\" AS BIGINT) AS \"start\", CAST(\"end\" AS BIGINT) AS \"end\", label, value FROM ({_CONV_LABELS})")

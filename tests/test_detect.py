@@ -58,7 +58,7 @@ def test_normalized_view_and_plain_columns(spark):
     rows = spark.createDataFrame([("担当のﾔﾏﾀﾞです。090-1234-5678", 1), ("cafe\u0301 333-333-3333", 2), (None, 3), ("", 4)], "text string, spans int")
     config = AnonymizerConfig(deny_list=("ヤマダ",))
     got = {r.spans: r.masked_text for r in anonymize(rows, config=config).collect()}
-    assert got == {1: "担当の<秘匿情報_1>です。<電話番号_1>", 2: "cafe\u0301 <Phone_1>", 3: "", 4: ""}
+    assert got == {1: "担当の<秘匿情報_1>です。<電話番号_1>", 2: "cafe\u0301 <Phone_1>", 3: None, 4: ""}
 
 
 def test_pruning_and_guards():
@@ -83,3 +83,51 @@ def test_round_trip(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts if "<" not in t] or [("",)], "text string")
     config = AnonymizerConfig(entities=("EMAIL_ADDRESS", "CREDIT_CARD"), normalize=False)
     assert all(r.restored_text == r.text for r in deanonymize(anonymize(rows, config=config)).collect())
+
+
+def test_one_scan_and_no_copies(spark, tmp_path):
+    """The source is read once, patterns stand in the plan once, and nothing but
+    the text is read for the masked text alone."""
+    spark.createDataFrame([(1, "a@b.com", "x")], "k int, text string, other string").write.parquet(str(tmp_path / "t"))
+    df = anonymize(spark.read.parquet(str(tmp_path / "t")))
+    plan = df.select("masked_text", F.explode("mapping"))._jdf.queryExecution().optimizedPlan().toString()
+    rules = len(rules_of(AnonymizerConfig().entities, AnonymizerConfig().languages, 0.4))
+    assert plan.count("Relation [") == 1 and plan.count("regexp_extract_all") == 2 * rules
+    assert "other" not in df.select("masked_text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_columns_stay(spark):
+    names = ["_text", "_lang", "_spans", "_view", "_found", "_ruled", "_denied", "_kept", "_model", "_valued", "pieces", "mapping", "entities", "masked_text", "lang", "spans"]
+    df = spark.createDataFrame([("mail a@b.com",), (None,), ("",)], "text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    got = anonymize(df, config=AnonymizerConfig(language="en"))
+    assert got.columns[: len(df.columns)] == df.columns
+    assert [r.masked_text_ for r in got.collect()] == ["mail <Email_1>", None, ""] and all(r[n] == f"own {n}" for r in got.collect() for n in names)
+    named = anonymize(df, config=AnonymizerConfig(language="en", split_names=True))
+    assert [r.masked_text_ for r in named.collect()] == ["mail <Email_1>", None, ""]
+    assert scan(df, "lang").count() == 1
+
+
+def test_context_words(spark):
+    texts = ["郵便番号は100-0001です。", "番号は100-0001です。", "zip 100-0001 です", "zipped 100-0001 です"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.masked_text for r in anonymize(rows, config=AnonymizerConfig(context=True)).collect()}
+    assert [got[t] != t for t in texts] == [True, False, True, False]
+
+
+def test_needles_from_a_table(spark):
+    import random
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abc日") for _ in range(rnd.randint(1, 5))) for _ in range(40)]
+    texts = [(i, "".join(rnd.choice("abc日 ") for _ in range(60))) for i in range(20)] + [(99, None), (98, "")]
+    needles = spark.createDataFrame([(w,) for w in [*words, None, ""]], "w string")
+    got = {tuple(r)[:3] + (r.value,) for r in D.needle_spans(spark.createDataFrame(texts, "id int, text string"), "id", "text", needles, "w").collect()}
+    assert got == {(i, k, k + len(w), w) for i, t in texts for w in words for k in range(len(t or "")) if (t or "").startswith(w, k)}
+
+
+def test_languages_by_characters(spark):
+    from cloakframe.functions.languages import LANGUAGE_CLASSES, guess_language
+
+    texts = ["plain", "", "Straße", "naïve ñ", "日本語の", "한국 日", "中文", "Ơ ß", "😀", "é\n\x00", "ç and è"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", guess_language(F.col("t")).alias("g")).collect()
+    assert all(r.g == next((c for c, p in LANGUAGE_CLASSES if re.search(p, r.t)), "en") for r in rows)
