@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import validators as V
 from .operators import detect as D
 from .operators import evals as E
 from .operators import events as EV
+from .operators import generate as GEN
 from .operators import labels as L
 from .operators import ner as NER
 from .operators import restore as R
@@ -31,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 _RULES = {r.name: r for r in RU.RULES}
 _DOC = ["email", "us_phone", "card"]
+#: All rules that a scan with default options applies.
+_ALL = [r.name for r in RU.rules_of(G.DEFAULT_ENTITIES, None, D.THRESHOLD)]
 _NEEDLES = ("idiot", "trash", "moron")
 
 
@@ -67,7 +71,10 @@ def _digits(v: str) -> str:
 
 _LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr({d}, CAST(length({d}) + 1 - k AS INT), 1) AS INT) ELSE (CAST(substr({d}, CAST(length({d}) + 1 - k AS INT), 1) AS INT) * 2) % 10 + (CAST(substr({d}, CAST(length({d}) + 1 - k AS INT), 1) AS INT) * 2) // 10 END)) % 10 = 0"
 _CHECK_SQL = {
+    "jp_landline": f"length({_digits('v')}) IN (10, 11)",
     "card": f"length({_digits('v')}) BETWEEN 12 AND 19 AND {_LUHN.format(d=_digits('v'))}",
+    "ssn": "{d} NOT SIMILAR TO '(000|666|123456789|98765432|078051120).*' AND substr({d}, 4, 2) <> '00' AND substr({d}, 6, 4) <> '0000' AND length(replace({d}, substr({d}, 1, 1), '')) > 0 AND (v LIKE '___-__-____' OR v LIKE '___ __ ____' OR v LIKE '___.__.____')".format(d=_digits("v")),
+    "iban": "list_reduce(list_transform(string_split(regexp_replace(concat(substr(replace(replace(v, ' ', ''), '-', ''), 5), substr(replace(replace(v, ' ', ''), '-', ''), 1, 4)), '(.)', '\\1,', 'g'), ','), lambda x: CASE WHEN x = '' THEN -1 WHEN x BETWEEN '0' AND '9' THEN CAST(x AS INT) ELSE ascii(x) - 55 END), lambda a, x: CASE WHEN x < 0 THEN a WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1",
     "my_number": "(WITH w AS (SELECT list_sum(list_transform(range(1, 12), lambda k: CAST(substr({d}, CAST(k AS INT), 1) AS INT) * [6,5,4,3,2,7,6,5,4,3,2][k])) % 11 AS r) SELECT CASE WHEN r <= 1 THEN 0 ELSE 11 - r END = CAST(substr({d}, 12, 1) AS INT) FROM w)".format(d=_digits("v")),
 }
 
@@ -89,7 +96,7 @@ def rule_sql(name: str, source: str = "documents", key: str = "doc_id", text: st
     return f"""
       SELECT {key}, s AS "start", s + length(v) AS "end", '{rule.entity_type}' AS entity_type, CAST({rule.score} AS DOUBLE) AS score, v AS value FROM (
         SELECT *, max(s + length(v)) OVER (PARTITION BY {key} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM (
-          SELECT {key}, CAST(i - 1 AS BIGINT) AS s, regexp_extract(substr({text}, i, 120), '^({core}){ends}', 1) AS v FROM (
+          SELECT {key}, CAST(i - 1 AS BIGINT) AS s, regexp_extract(substr({text}, i, 2000), '^({core}){ends}', 1) AS v FROM (
             SELECT {key}, {text}, unnest(range(1, length({text}) + 1)) AS i FROM {source} WHERE regexp_matches({text}, '{core}')) WHERE {lead}{guard}) WHERE v <> '')
       WHERE (taken IS NULL OR s >= taken){check}"""
 
@@ -98,6 +105,16 @@ def spans_sql(names: list[str] = _DOC, **options) -> str:
     return " UNION ALL ".join(f"({rule_sql(n, **options)})" for n in names)
 
 
+def own_language_sql(names: list[str] = _ALL, table: str = "documents", key: str = "doc_id", language: str = "lang", text: str = "text") -> str:
+    """Spans of the rules, each in texts of its languages."""
+    parts = []
+    for n in names:
+        codes = _RULES[n].languages
+        source = f"(SELECT * FROM {table} WHERE {language} IN ({', '.join(map(quoted, codes))}))" if codes else table
+        parts.append(f"({rule_sql(n, source, key, text)})")
+    return " UNION ALL ".join(parts)
+
+
 def needle_sql(needles: tuple[str, ...], source: str, key: str, text: str) -> str:
     """Occurrences of needles (that don't overlap themselves)."""
     rows = ", ".join(f"({quoted(n)})" for n in needles)
@@ -131,6 +148,22 @@ def doc_spans(spark: SparkSession, sf_dir: str, names: list[str] = _DOC, merged:
     return docs.withColumn("spans", D.once(merge(F.col("_raw"), F.col("text"))) if merged else F.col("_raw")).drop("_raw")
 
 
+def own_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the unmerged spans of all rules of each text's language."""
+    rules = [_RULES[n] for n in _ALL]
+    return table(spark, sf_dir, "documents").withColumn("spans", D.once(D.detect_rules(F.col("text"), F.col("lang"), rules)))
+
+
+#: A whole scan; each document in its own language.
+_SCAN = A.AnonymizerConfig(profile="scan", language_col="lang")
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the findings of a whole scan, merged, in column spans."""
+    docs = table(spark, sf_dir, "documents")
+    return A.with_spans(docs, "text", _SCAN).withColumnRenamed("_spans", "spans")
+
+
 def exploded(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
     rows = df.select(key, F.col("text").alias("_t"), F.explode(spans).alias("_s"))
     return rows.select(key, F.col("_s.start").cast("long").alias("start"), F.col("_s.end").cast("long").alias("end"), "_s.entity_type", "_s.score", D.value_of(F.col("_t"), F.col("_s")).alias("value"))
@@ -161,7 +194,6 @@ def _add_rule_query(name: str, rule: str, checked: bool) -> None:
 
 for _name, _rule, _checked in (
     ("email_spans", "email", True), ("us_phone_spans", "us_phone", True), ("card_candidates", "card", False), ("card_luhn_valid", "card", True),
-    ("my_number_candidates", "my_number", False), ("my_number_valid", "my_number", True), ("jp_mobile_spans", "jp_mobile", True), ("jp_toll_free_spans", "jp_toll_free", True),
 ):
     _add_rule_query(_name, _rule, _checked)
 
@@ -207,61 +239,185 @@ def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(found.withColumn("spans", D.of_types(F.col("spans"), ["EMAIL_ADDRESS", "CREDIT_CARD"])))
 
 
-@query(f"SELECT entity_type, score, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({spans_sql()}) GROUP BY 1, 2")
+@query(f"SELECT entity_type, score, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({own_language_sql()}) GROUP BY 1, 2")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(doc_spans(spark, sf_dir, merged=False)).groupBy("entity_type", "score").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return exploded(own_language_spans(spark, sf_dir)).groupBy("entity_type", "score").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(f"""SELECT CAST(s.doc_id AS VARCHAR) AS file, CAST(length(substr(text, 1, CAST("start" AS INT))) - length(replace(substr(text, 1, CAST("start" AS INT)), chr(10), '')) + 1 AS BIGINT) AS line,
-  CAST(length(list_last(string_split(substr(text, 1, CAST("start" AS INT)), chr(10)))) + 1 AS BIGINT) AS "column", "start", "end", entity_type, score FROM ({spans_sql()}) s JOIN documents USING (doc_id)""")
+@query(own_language_sql())
+def spans_in_own_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(own_language_spans(spark, sf_dir))
+
+
+@query()
 def line_col_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.findings(doc_spans(spark, sf_dir).withColumn("name", F.col("doc_id").cast("string")), "name", "text", "spans")
-    return found.withColumns({c: F.col(c).cast("long") for c in ("line", "column", "start", "end")})
+    """The findings of a whole scan; merged spans have no short form in SQL."""
+    return A.scan(table(spark, sf_dir, "documents"), "doc_id", "text", _SCAN)
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) || ':' || entity_type || ' (score ' || printf('%.2f', score) || ')' AS line FROM ({spans_sql()})")
+@query()
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exploded(doc_spans(spark, sf_dir))
-    return found.select(F.format_string("%d:%s (score %.2f)", "doc_id", "entity_type", "score").alias("line"))
+    return S.report_lines(line_col_findings(spark, sf_dir))
+
+
+@query()
+def report_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.report_json(line_col_findings(spark, sf_dir), table(spark, sf_dir, "documents").count())
 
 
-@query(f"SELECT (SELECT count(*) FROM ({spans_sql()})) AS findings, (SELECT count(DISTINCT doc_id) FROM ({spans_sql()})) AS files, count(*) AS inputs FROM documents")
+@query()
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.summary(doc_spans(spark, sf_dir), "doc_id", "spans")
+    return S.summary(scanned(spark, sf_dir), "doc_id", "spans")
 
 
-@query(f"SELECT lang, count(*) AS docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM ({spans_sql()}))) AS with_pii FROM documents GROUP BY 1")
+_WITH_PII = f"doc_id IN (SELECT doc_id FROM ({own_language_sql()}))"
+
+
+@query(f"SELECT lang, count(*) AS docs, count(*) FILTER ({_WITH_PII}) AS with_pii FROM documents GROUP BY 1")
 def docs_with_pii_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_spans(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("spans") > 0).alias("with_pii"))
+    return own_language_spans(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.size("spans") > 0).alias("with_pii"))
 
 
-@query(f"SELECT source, entity_type, count(*) AS n FROM ({spans_sql()}) JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query()
 def entity_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = doc_spans(spark, sf_dir).select("source", F.explode(D.entity_counts(F.col("spans"))).alias("entity_type", "k"))
+    counted = scanned(spark, sf_dir).select("source", F.explode(D.entity_counts(F.col("spans"))).alias("entity_type", "k"))
     return counted.groupBy("source", "entity_type").agg(F.sum("k").cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, count(*) AS findings FROM ({spans_sql()}) GROUP BY 1 ORDER BY findings DESC, doc_id LIMIT 20")
+@query(f"SELECT doc_id, count(*) AS findings FROM ({own_language_sql()}) GROUP BY 1 ORDER BY findings DESC, doc_id LIMIT 20")
 def top_docs_by_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("findings")).orderBy(F.desc("findings"), "doc_id").limit(20)
+    return own_language_spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("findings")).orderBy(F.desc("findings"), "doc_id").limit(20)
 
 
-@query(f"SELECT quality, toxic, count(*) AS docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM ({spans_sql()}))) AS with_pii FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+@query(f"SELECT quality, toxic, count(*) AS docs, count(*) FILTER ({_WITH_PII}) AS with_pii FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
 def quality_vs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = doc_spans(spark, sf_dir).select("doc_id", (F.size("spans") > 0).alias("p"))
+    flagged = own_language_spans(spark, sf_dir).select("doc_id", (F.size("spans") > 0).alias("p"))
     return flagged.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("docs"), F.count_if("p").alias("with_pii"))
 
 
-@query(f"SELECT count(*) AS items, count(*) FILTER (item_id IN (SELECT item_id FROM ({spans_sql(source='benchmark', key='item_id')}))) AS with_pii FROM benchmark")
+def _guessed(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> DataFrame:
+    rows = table(spark, sf_dir, name).select(key, F.col(text).alias("text"))
+    return rows.withColumn("spans", D.once(D.detect_rules(F.col("text"), G.guess_language(F.col("text")), [_RULES[n] for n in _ALL])))
+
+
+def _guessed_sql(name: str, key: str, text: str) -> str:
+    return own_language_sql(_ALL, f"(SELECT {key}, {text} AS text, {G.guess_language_sql(text)} AS lang FROM {name})", key)
+
+
+@query(f"SELECT count(*) AS items, count(*) FILTER (item_id IN (SELECT item_id FROM ({_guessed_sql('benchmark', 'item_id', 'text')}))) AS with_pii FROM benchmark")
 def benchmark_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "benchmark").withColumn("spans", D.detect_rules(F.col("text"), F.lit("en"), [_RULES[n] for n in _DOC]))
-    return found.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.size("spans") > 0).alias("with_pii"))
+    return _guessed(spark, sf_dir, "benchmark", "item_id", "text").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.size("spans") > 0).alias("with_pii"))
 
 
-@query(f"SELECT entity_type, count(*) AS n FROM ({spans_sql(source='pages', key='page_id', text='html')}) GROUP BY 1")
+@query(f"SELECT entity_type, count(*) AS n FROM ({_guessed_sql('pages', 'page_id', 'html')}) GROUP BY 1")
 def pages_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")).withColumn("spans", D.detect_rules(F.col("text"), F.lit("en"), [_RULES[n] for n in _DOC]))
-    return exploded(found, "page_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(_guessed(spark, sf_dir, "pages", "page_id", "html"), "page_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- generated cases: made in each document's place, so that every rule has matches
+
+
+#: Cases of each language that queries use.
+_CASES = 30
+
+
+def _cases(spark: SparkSession, count: int = GEN.COUNT) -> DataFrame:
+    return GEN.generate_cases(spark, count=count)
+
+
+def _case_list() -> list[tuple[int, str, str]]:
+    return [(k * _CASES + i, code, GEN.case_of(code, i, GEN.SEED)[3]) for k, code in enumerate(G.LANGUAGES) for i in range(_CASES)]
+
+
+#: documents, each with a case's text behind a line of its own.
+_DOC_CASES = f"(SELECT doc_id, c.language, doc_id || chr(10) || c.text AS text FROM documents JOIN ({values(['n', 'language', 'text'], _case_list())}) c ON doc_id % {_CASES * len(G.LANGUAGES)} = c.n)"
+
+
+def doc_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _cases(spark, _CASES)
+    place = F.array_position(F.array(*map(F.lit, G.LANGUAGES)), F.col("language")) - 1
+    numbered = cases.select((place * _CASES + F.substring_index("id", "-", -1).cast("long")).alias("n"), "language", F.col("text").alias("_case"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"doc_id % {_CASES * len(G.LANGUAGES)}").alias("n"))
+    return docs.join(F.broadcast(numbered), "n").select("doc_id", "language", F.concat_ws("\n", F.col("doc_id").cast("string"), "_case").alias("text"))
+
+
+def _add_case_query(name: str, rules: list[str], checked: bool = True) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ones = [r if checked else RU.Rule(r.name, r.entity_type, r.pattern, r.score, r.languages, None, r.needs) for r in (_RULES[n] for n in rules)]
+        return exploded(doc_cases(spark, sf_dir).withColumn("spans", D.once(D.detect_rules(F.col("text"), F.col("language"), ones))))
+
+    def source(n: str) -> str:
+        codes = _RULES[n].languages
+        return f"(SELECT * FROM {_DOC_CASES} WHERE language IN ({', '.join(map(quoted, codes))}))" if codes else _DOC_CASES
+
+    QUERIES[name], SQL[name] = run, " UNION ALL ".join(f"({rule_sql(n, source(n), checked=checked)})" for n in rules)
+
+
+for _name, _rules, _checked in (
+    ("my_number_candidates", ["my_number"], False), ("my_number_valid", ["my_number"], True), ("jp_mobile_spans", ["jp_mobile"], True), ("jp_toll_free_spans", ["jp_toll_free"], True), ("jp_landline_spans", ["jp_landline"], True),
+    ("postal_spans", ["postal_marked", "postal_bare"], True), ("ssn_spans", ["ssn"], True), ("iban_spans", ["iban"], True), *((f"{code}_phone_spans", [r.name for r in RU.RULES if r.languages == (code,) and r.entity_type == "PHONE_NUMBER"], True) for code in ("es", "vi", "zh", "ko", "fr", "de", "pt", "it")),
+):
+    _add_case_query(_name, _rules, _checked)
+
+
+def _support() -> list[tuple[str, str, int]]:
+    """Structured values of each language and type by the texts' slots."""
+    out: dict[tuple[str, str], int] = {}
+    for code in G.LANGUAGES:
+        for i in range(GEN.COUNT):
+            for slot in re.findall(r"\{(\w+)\}", GEN.TEXTS[code][i % len(GEN.GENRES)]):
+                if GEN.ENTITY.get(slot) in E.TABLE_TYPES:
+                    out[code, GEN.ENTITY[slot]] = out.get((code, GEN.ENTITY[slot]), 0) + 1
+    return [(*k, n) for k, n in out.items()]
+
+
+_TABLE = [(code, kind, n, 0, 0, 1.0, 1.0, 1.0) for code, kind, n in _support()]
+
+
+@query(values(["language", "entity_type", "tp", "fp", "fn", "precision", "recall", "f1"], _TABLE))
+def eval_structured_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.with_rates(E.rules_table(_cases(spark), ["language"]))
+
+
+@query(values(["language", "entity_type", "tp", "fp", "fn"], [r[:5] for r in _TABLE]))
+def eval_masked_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan, in each case's language, on the types with rules."""
+    config = A.AnonymizerConfig(language_col="language", entities=(*G.DEFAULT_ENTITIES, *G.OPTIONAL_ENTITIES))
+    gold = F.filter("spans", lambda s: s["entity_type"].isin(*E.TABLE_TYPES))
+    found = A.anonymize(_cases(spark), "text", config).select("language", gold.alias("gold"), "entities")
+    return E.evaluate(found, "gold", "entities", ["language"])
+
+
+_PARTS_SQL = values(["language", "entity_type", "n"], [(code, kind, n) for code in G.LANGUAGES for kind, n in sorted(Counter(s["entity_type"] for i in range(GEN.COUNT) for s in GEN.case_of(code, i, GEN.SEED)[4] if s["entity_type"] in G.NAME_PARTS.values()).items())])
+
+
+@query(f"SELECT language, entity_type, n AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn FROM ({_PARTS_SQL})")
+def eval_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evaluate_name_parts(_cases(spark), ["language"])
+
+
+#: Recall floors of the types with rules.
+_FLOORS = {kind: 0.95 for kind in E.TABLE_TYPES}
+
+
+@query("SELECT 'x' AS entity_type, CAST(0 AS DOUBLE) AS recall, CAST(0 AS DOUBLE) AS floor, CAST(0 AS BIGINT) AS support, TRUE AS ok WHERE FALSE UNION ALL " + " UNION ALL ".join(f"SELECT '{k}', CAST(1.0 AS DOUBLE), CAST(0.95 AS DOUBLE), CAST({sum(n for _, kind, n in _support() if kind == k)} AS BIGINT), TRUE" for k in E.TABLE_TYPES))
+def recall_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = E.with_rates(E.rules_table(_cases(spark).withColumn("all", F.lit("all")), ["all"]))
+    limits = spark.createDataFrame(list(_FLOORS.items()), "entity_type string, floor double")
+    return counts.join(F.broadcast(limits), "entity_type").select("entity_type", "recall", "floor", (F.col("tp") + F.col("fn")).alias("support"), (F.col("recall") >= F.col("floor")).alias("ok"))
+
+
+@query(values(["row"], [(f"| {k} | 1.00 | 1.00 | 1.00 | {sum(n for _, kind, n in _support() if kind == k)} |",) for k in E.TABLE_TYPES]))
+def eval_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.markdown(E.rules_table(_cases(spark).withColumn("all", F.lit("all")), ["all"]))
+
+
+@query(values(["side", "entity_type", "support"], [("documented", "US_SSN", 1), ("now", "US_SSN", 67)]))
+def table_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of today against a documented one in which one row is old."""
+    lines = eval_markdown(spark, sf_dir)
+    old = lines.select(F.when(F.col("row").startswith("| US_SSN"), F.lit("| US_SSN | 1.00 | 1.00 | 1.00 | 1 |")).otherwise(F.col("row")).alias("row"))
+    return E.drift(E.table_rows(lines, "row"), E.table_rows(old, "row")).select("side", "entity_type", "support")
 
 
 # ---- labels and restoring
@@ -306,7 +462,7 @@ def replacement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "label", F.col("count").cast("long").alias("n"))
 
 
-_CONV = "(SELECT *, conv_id * 1000 + turn AS m FROM conversations)"
+_CONV = "(SELECT *, conv_id * 1000000000 + turn AS m FROM conversations)"
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,8 +480,8 @@ def conversation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TERMS = ("and", "of", "is")
 _CONV_LABELS = f"""
-  WITH s AS (SELECT m // 1000 AS conv_id, m % 1000 AS turn, "start", "end", entity_type, value FROM ({needle_sql(_TERMS, _CONV, 'm', 'text')})),
-  f AS (SELECT conv_id, value, min(turn * 1000000 + "start") AS f FROM s GROUP BY 1, 2),
+  WITH s AS (SELECT m // 1000000000 AS conv_id, m % 1000000000 AS turn, "start", "end", entity_type, value FROM ({needle_sql(_TERMS, _CONV, 'm', 'text')})),
+  f AS (SELECT conv_id, value, min(turn * 1000000000 + "start") AS f FROM s GROUP BY 1, 2),
   r AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY f) AS k FROM f)
   SELECT s.*, '<Custom_' || k || '>' AS label FROM s JOIN r USING (conv_id, value)"""
 

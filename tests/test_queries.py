@@ -21,7 +21,7 @@ def plain(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
