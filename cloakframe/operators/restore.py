@@ -49,6 +49,16 @@ def latest_mappings(df: DataFrame, keys: list[str], order: str, mapping: str = "
     return last if keep is None else last.orderBy(F.desc(order)).limit(keep)
 
 
-def restored_completion(choices: Column, mapping: Column) -> Column:
-    """Contents of array(struct(content)) restored, choice by choice."""
-    return F.transform(choices, lambda c: c.withField("content", restored(c["content"], mapping)))
+def restored_parts(parts: Column, mapping: Column) -> Column:
+    """array(struct(type, text)) with the text parts restored; others as they are."""
+    return F.transform(parts, lambda p: p.withField("text", F.when(p["type"] == "text", restored(p["text"], mapping)).otherwise(p["text"])))
+
+
+def restored_completion(choices: Column, mapping: Column, content: str = "content") -> Column:
+    """Contents (strings) of array(struct(content)) restored, choice by choice."""
+    return F.transform(choices, lambda c: c.withField(content, restored(c[content], mapping)))
+
+
+def restored_completion_parts(choices: Column, mapping: Column, parts: str = "parts") -> Column:
+    """The same where the content of each choice is a list of parts."""
+    return F.transform(choices, lambda c: c.withField(parts, restored_parts(c[parts], mapping)))

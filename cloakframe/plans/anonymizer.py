@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerCo
     if config.detector is not None:
         with_model = plain.withColumn(n["_model"], D.once(D.of_types(config.detector(raw, language), config.entities)))
         kept = D.outside_of(F.col(n["_model"]), hits) if config.drop_model_overlaps else F.col(n["_model"])
-        plain = with_model.withColumn(n["_found"], propagate(raw, F.concat(hits, kept)))
+        plain = with_model.withColumn(n["_found"], D.once(F.concat(hits, kept))).withColumn(n["_found"], propagate(raw, hits))
     final = D.at_least(hits, config.threshold)
     if config.profile != "scan":
         final = D.not_allowed(final, raw, allow)
@@ -168,4 +169,53 @@ def anonymize_conversations(df: DataFrame, conv: str, turn: str, text: str, conf
     return L.mask_conversations(masked, conv, turn, text, "pieces")
 
 
-__all__ = ["DEFAULT_LANGUAGES", "AnonymizerConfig", "anonymize", "anonymize_conversations", "deanonymize", "scan", "unused", "with_spans"]
+def anonymize_parts(df: DataFrame, conv: str, turn: str, parts: str, config: AnonymizerConfig = AnonymizerConfig()) -> DataFrame:
+    """(conv, turn, parts) of messages whose content is array(struct(type, text)):
+    each text part is masked by itself, with one label for a value in a whole
+    conversation; parts are numbered in order, and others stay as they are."""
+    at, one = unused("_at", df.columns), unused("_part", df.columns)
+    rows = df.select(F.col(conv), F.col(turn), F.posexplode(parts).alias(at, one))
+    rows = rows.withColumn("_message_part", F.struct(F.col(turn).alias("t"), F.col(at).alias("p")))
+    texts = rows.select(F.col(conv), "_message_part", F.when(F.col(one)["type"] == "text", F.col(one)["text"]).alias("_text_of"))
+    masked = anonymize_conversations(texts, conv, "_message_part", "_text_of", config)
+    joined = rows.join(masked, [conv, "_message_part"], "left").withColumn("_new", F.when(F.col(one)["type"] == "text", F.col(one).withField("text", F.col("masked_text"))).otherwise(F.col(one)))
+    return joined.groupBy(conv, turn).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), F.col("_new").alias("p")))).alias("_all")).select(conv, turn, F.transform("_all", lambda x: x["p"]).alias(parts))
+
+
+def patched(config: AnonymizerConfig, patch: dict[str, object]) -> AnonymizerConfig:
+    """``config`` with some options changed; ValueError names the first that is
+    unknown or of the wrong type."""
+    if not isinstance(patch, dict):
+        raise ValueError("a patch must be an object")
+    known, made = {f.name: f for f in fields(AnonymizerConfig)}, {}
+    for name, value in patch.items():
+        if name not in known or name == "detector":
+            raise ValueError(f"{name!r} is no option that can be changed")
+        old = known[name].default
+        if isinstance(old, tuple):
+            if not isinstance(value, (list, tuple)) or any(not isinstance(v, str) for v in value):
+                raise ValueError(f"{name} must be a list of strings")
+            value = tuple(value)
+        elif isinstance(old, bool) != isinstance(value, bool) or not isinstance(value, (bool, str, float, int) if old is not None else (str, type(None))):
+            raise ValueError(f"{name} must be {'a boolean' if isinstance(old, bool) else 'a string' if old is None or isinstance(old, str) else 'a number'}")
+        elif isinstance(old, str) != isinstance(value, str) and old is not None:
+            raise ValueError(f"{name} must be {'a string' if isinstance(old, str) else 'a number'}")
+        made[name] = value
+    return replace(config, **made)
+
+
+def preview_then_upgrade(df: DataFrame, text: str, config: AnonymizerConfig, write: Callable[[DataFrame, str], None]) -> str:
+    """Write the result of the rules alone as "preview" first, then that with
+    the model as "final"; if the model fails, the preview stands. Returns which
+    of the two was written last."""
+    write(anonymize(df, text, replace(config, detector=None)), "preview")
+    if config.detector is None:
+        return "preview"
+    try:
+        write(anonymize(df, text, config), "final")
+    except PySparkException:
+        return "preview"
+    return "final"
+
+
+__all__ = ["DEFAULT_LANGUAGES", "AnonymizerConfig", "anonymize", "anonymize_conversations", "anonymize_parts", "deanonymize", "patched", "preview_then_upgrade", "scan", "unused", "with_spans"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GOLDEN = "id string, language string, genre string, text string, spans array<struct<start:int,end:int,entity_type:string,value:string>>"
@@ -73,7 +73,10 @@ def sse_frames(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def deltas(frames: DataFrame, key: str) -> DataFrame:
-    """(key, choice, seq, chunk, done) of chat completion frames, per choice."""
+    """(key, choice, seq, chunk, done) of chat completion frames: seq counts the
+    chunks of each choice, and done is its last one."""
     shape = "choices array<struct<index:int,delta:struct<content:string>>>"
-    rows = frames.where("not done").select(key, "seq", F.inline(F.from_json("data", shape)["choices"]))
-    return rows.select(key, F.coalesce("index", F.lit(0)).alias("choice"), "seq", F.col("delta.content").alias("chunk"), F.lit(False).alias("done"))
+    rows = frames.where("not done").select(key, F.col("seq").alias("_frame"), F.inline(F.from_json("data", shape)["choices"]))
+    one = Window.partitionBy(key, "choice").orderBy("_frame")
+    each = rows.select(key, F.coalesce("index", F.lit(0)).alias("choice"), "_frame", F.coalesce("delta.content", F.lit("")).alias("chunk"))
+    return each.select(key, "choice", (F.row_number().over(one) - 1).cast("long").alias("seq"), "chunk", F.lead("_frame").over(one).isNull().alias("done"))

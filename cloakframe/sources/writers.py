@@ -31,3 +31,12 @@ def sse_body(df: DataFrame, key: str, seq: str = "seq", data: str = "data") -> D
     """(key, body): frames joined again in order."""
     frames = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(data).alias("d"))))
     return df.groupBy(key).agg(frames.alias("_f")).select(key, F.array_join(F.transform("_f", lambda f: F.concat(F.lit("data: "), f["d"], F.lit("\n\n"))), "").alias("body"))
+
+
+def delta_frames(restored: DataFrame, key: str = "stream_id", choice: str = "choice", seq: str = "seq", text: str = "text", last: str = "last") -> DataFrame:
+    """(key, seq, data) of restored chunks: one completion frame each; the chunk
+    that ends a stream (``last``) has what was held back, and [DONE] after it."""
+    delta = F.to_json(F.struct(F.array(F.struct(F.col(choice).alias("index"), F.struct(F.col(text).alias("content")).alias("delta"))).alias("choices")))
+    data = F.when(F.col(last), F.array(delta, F.lit("[DONE]"))).otherwise(F.array(delta))
+    rows = restored.select(key, F.col(seq).alias("_seq"), F.posexplode(data).alias("_at", "data"))
+    return rows.select(key, (F.col("_seq") * 2 + F.col("_at")).alias("seq"), "data")

@@ -53,42 +53,64 @@ class ChunkRestorer:
         return out
 
 
-OUTPUT = "stream_id string, seq bigint, text string"
+OUTPUT = "stream_id string, choice int, seq bigint, text string, last boolean"
 STATE = "next_seq bigint, pending string, early string, mapping string"
-
-
-def restore_stream(chunks: DataFrame) -> DataFrame:
-    """(stream_id, seq, text) of a stream of (stream_id, seq, chunk, done,
-    mapping), where mapping is array(label, value), the same in all rows.
-
-    Chunks may come out of order: those that are early wait in the state until
-    the missing ones are there. The last row (done) flushes what is held back.
+#: next_seq of a stream that has ended.
+ENDED = -1
+#: Milliseconds after which a stream that gets no more chunks is given up.
+IDLE_MS = 3_600_000
+
+
+def restore_stream(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """(stream_id, choice, seq, text, last) of a stream of (stream_id, seq, chunk,
+    done, mapping[, choice]), where mapping is array(label, value), in all rows.
+
+    Streams are restored by choice (0 where there is no such column). Chunks may
+    come out of order: those that are early wait in the state, with the mapping,
+    until the missing ones are there. The last row (done) flushes what is held
+    back. An ended stream stays known for ``idle_ms``, so that late repeats
+    don't open it again; one that gets no chunks for so long is flushed with
+    all that waits, and forgotten. Beyond that a stream's state is at most one
+    placeholder.
     """
+
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, pending, early, mapping = state.get if state.exists else (0, "", "{}", "[]")
         waiting = {int(k): v for k, v in json.loads(early).items()}
-        pairs = [tuple(m) for m in json.loads(mapping)]
+        pairs, out, ended = [tuple(m) for m in json.loads(mapping)], [], seq == ENDED
+        if state.hasTimedOut:
+            restorer = ChunkRestorer(pairs, pending)
+            text = "".join(restorer.push(waiting[k][0]) for k in sorted(waiting)) + restorer.flush()
+            state.remove()
+            if text:
+                yield pd.DataFrame([(*key, seq, text, True)], columns=_COLUMNS)
+            return
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if row.mapping is not None and not pairs:
                     pairs = [(m["label"], m["value"]) for m in row.mapping]
-                if row.seq >= seq:
+                if not ended and row.seq >= seq:
                     waiting[int(row.seq)] = [row.chunk or "", bool(row.done)]
-        out, restorer, ended = [], ChunkRestorer(pairs, pending), False
-        while seq in waiting:
+        restorer = ChunkRestorer(pairs, pending)
+        while seq in waiting and not ended:
             chunk, ended = waiting.pop(seq)
-            text = restorer.push(chunk) + (restorer.flush() if ended else "")
-            out.append((key[0], seq, text))
+            out.append((*key, seq, restorer.push(chunk) + (restorer.flush() if ended else ""), ended))
             seq += 1
         if ended:
-            state.remove()
+            state.update((ENDED, "", "{}", "[]"))
         else:
-            state.update((seq, restorer.pending, json.dumps(waiting), json.dumps(pairs)))
+            state.update((seq, restorer.pending, json.dumps(waiting), json.dumps(pairs if waiting or restorer.pending else [])))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    choice = F.col("choice").cast("int") if "choice" in chunks.columns else F.lit(0)
+    rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.coalesce(choice, F.lit(0)).alias("choice"), F.col("seq").cast("long").alias("seq"), "chunk", "done", "mapping")
+    return rows.groupBy("stream_id", "choice").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
 
-    rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "chunk", "done", "mapping")
-    return rows.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+_COLUMNS = ["stream_id", "choice", "seq", "text", "last"]
 
 
 def restore_batch(chunks: DataFrame) -> DataFrame:

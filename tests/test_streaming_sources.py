@@ -43,7 +43,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, part in enumerate((shuffled[:7], shuffled[7:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("mapping", mapping)
-    query = restore_stream(stream).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    query = restore_stream(stream, idle_ms=None).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     query.processAllAvailable()
     query.stop()
     got = spark.table("restored").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x")).collect()
@@ -68,3 +68,41 @@ def test_sinks(spark, tmp_path):
     assert writers.write_texts(rows, str(tmp_path / "t"), "t") == 4
     frames = readers.sse_frames(spark.createDataFrame([("s", "data: a\n\ndata: b\n\n")], "s string, body string"), "s", "body")
     assert writers.sse_body(frames, "s").first().body == "data: a\n\ndata: b\n\n"
+
+
+def test_choices_repeats_and_idle_streams(spark, tmp_path):
+    """Choices don't mix, late repeats of an ended stream say nothing, and a
+    stream with a gap is flushed when it is idle for too long."""
+    import time
+
+    schema = "stream_id string, choice int, seq long, chunk string, done boolean"
+    mapping = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("value")) for k, v in MAPPING])
+    first = [("a", 0, 0, "hi <Ema", False), ("a", 1, 0, "yo <人名", False), ("a", 0, 1, "il_1>", True), ("b", 0, 0, "start <Em", False), ("b", 0, 2, " end", False)]
+    then = [("a", 1, 1, "_1>!", True), ("a", 0, 0, "hi <Ema", False), ("a", 0, 1, "il_1>", True)]
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")) if spark.createDataFrame(first, schema).write.parquet(str(tmp_path / "in")) is None else None
+    query = restore_stream(stream.withColumn("mapping", mapping), idle_ms=4000).writeStream.format("memory").queryName("choices").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+
+    def until(done):
+        deadline = time.time() + 60
+        while time.time() < deadline and not any(done(r) for r in spark.table("choices").collect()):
+            time.sleep(0.3)
+
+    until(lambda r: (r.stream_id, r.choice) == ("a", 0) and r.last)
+    spark.createDataFrame(then, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    until(lambda r: (r.stream_id, r.choice) == ("a", 1) and r.last)
+    until(lambda r: r.stream_id == "b" and r.last)
+    query.stop()
+    out = {}
+    for r in sorted(spark.table("choices").collect(), key=lambda r: (r.stream_id, r.choice, r.seq)):
+        out[r.stream_id, r.choice] = out.get((r.stream_id, r.choice), "") + r.text
+    assert out == {("a", 0): "hi alice@example.com", ("a", 1): "yo 山田太郎!", ("b", 0): "start <Em end"}
+
+
+def test_completion_frames(spark):
+    body = 'data: {"choices":[{"index":0,"delta":{"content":"a <Em"}},{"index":1,"delta":{"content":"b"}}]}\n\ndata: {"choices":[{"index":0,"delta":{"content":"ail_1>"}}]}\n\ndata: [DONE]\n\n'
+    frames = readers.sse_frames(spark.createDataFrame([("s", body)], "stream_id string, body string"), "stream_id", "body")
+    got = sorted(tuple(r) for r in readers.deltas(frames, "stream_id").collect())
+    assert got == [("s", 0, 0, "a <Em", False), ("s", 0, 1, "ail_1>", True), ("s", 1, 0, "b", True)]
+    rows = spark.createDataFrame([("s", 0, 0, "a ", False), ("s", 0, 1, "x", True)], "stream_id string, choice int, seq long, text string, last boolean")
+    written = writers.sse_body(writers.delta_frames(rows), "stream_id").first().body
+    assert written == 'data: {"choices":[{"index":0,"delta":{"content":"a "}}]}\n\ndata: {"choices":[{"index":0,"delta":{"content":"x"}}]}\n\ndata: [DONE]\n\n'
