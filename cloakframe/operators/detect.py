@@ -7,8 +7,9 @@ points, end exclusive. All of this is Column work without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,26 +102,63 @@ def boosted(spans: Column, text: Column) -> Column:
     return F.transform(spans, raised)
 
 
+#: Characters of a needle that the join is on.
+HEAD = 3
+#: Occurrences that one batch holds.
+FOUND_ROWS = 1 << 16
+
+
+def heads_of(text: Column) -> Column:
+    """The distinct strings of up to HEAD characters that a text holds."""
+    chars = F.split(text, "", -1)
+    out, longer = [chars], chars
+    for k in range(2, HEAD + 1):
+        longer = F.zip_with(longer, F.slice(chars, F.lit(k), F.size(chars)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        out.append(longer)
+    return F.array_distinct(F.concat(*out))
+
+
 def needle_spans(df: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """(key, start, end, entity_type, score, value): every occurrence of a table
     of strings, of any size (those of one string may overlap).
 
-    An equi-join of the heads (up to three characters) at every place with the
-    strings' heads, then a comparison of the rest. Nulls and empty strings are
-    no needles; repeated ones count once.
+    An equi-join of each text's distinct heads (up to three characters) with the
+    strings' heads; a text then looks for those strings only. Texts aren't
+    copied: heads go by the text's digest. Nulls and empty strings are no
+    needles; repeated ones count once; a null key is carried as such.
     """
-    listed = needles.select(F.col(needle).cast("string").alias("value")).where("length(value) > 0").distinct()
-    listed = listed.select("value", F.least(F.length("value"), F.lit(HEAD)).alias("_k")).withColumn("_head", F.substring(F.col("value"), F.lit(1), F.col("_k")))
-    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text")).where("length(_text) > 0")
-    places = rows.select(key, "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("start"))
-    heads = places.select(key, F.substring(F.col("_text"), F.col("start") + 1, F.lit(HEAD)).alias("_three"), "_text", "start")
-    each = heads.select(key, "_text", "start", F.explode(F.array_distinct(F.array(*[F.substring(F.col("_three"), F.lit(1), F.lit(k)) for k in range(1, HEAD + 1)]))).alias("_head"))
-    found = each.join(listed, "_head").where(F.substring(F.col("_text"), F.col("start") + 1, F.length("value")) == F.col("value"))
-    return found.select(key, "start", (F.col("start") + F.length("value")).alias("end"), F.lit(CUSTOM).alias("entity_type"), F.lit(1.0).alias("score"), "value")
-
-
-#: Characters of a needle that the join is on.
-HEAD = 3
+    listed = needles.select(F.col(needle).cast("string").alias("_value")).where("length(_value) > 0").distinct()
+    listed = listed.withColumn("_head", F.substring("_value", 1, HEAD))
+    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where("length(_text) > 0").withColumn("_digest", F.sha2("_text", 256))
+    heads = rows.select("_digest", F.explode(heads_of(F.col("_text"))).alias("_head"))
+    wanted = heads.join(listed, "_head").groupBy("_digest").agg(F.collect_set("_value").alias("_values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            starts: list[int] = []
+            values: list[str] = []
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(values, pa.string())], ["_key", "start", "value"])
+
+            for i in range(batch.num_rows):
+                own = batch.column(1)[i].as_py()
+                for value in batch.column(2)[i].as_py():
+                    spot = own.find(value)
+                    while spot >= 0:
+                        at.append(i)
+                        starts.append(spot)
+                        values.append(value)
+                        if len(at) >= FOUND_ROWS:
+                            yield made()
+                            at, starts, values = [], [], []
+                        spot = own.find(value, spot + 1)
+            if at:
+                yield made()
+
+    found = rows.join(wanted, "_digest").select("_key", "_text", "_values").mapInArrow(run, T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("start", T.IntegerType()), T.StructField("value", T.StringType())]))
+    return found.select(F.col("_key").alias(key), "start", (F.col("start") + F.length("value")).alias("end"), F.lit(CUSTOM).alias("entity_type"), F.lit(1.0).alias("score"), "value")
 
 
 def deny_spans(text: Column, needles: Sequence[str]) -> Column:

@@ -672,3 +672,165 @@ def mapping_json_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "Mail a@x.com")], "id long, text string")
     return WR.result_json(A.anonymize(rows, "text", A.AnonymizerConfig(entities=("EMAIL_ADDRESS",)))).select("id", "result")
+
+
+# ---- the plan's other parts, on whole tables
+
+
+_MIXED = "'cafe' || chr(769) || ' ' || chr(65398) || chr(65438) || ' u' || doc_id || '@x.com ' || text"
+
+
+@query(rule_sql("email", f"(SELECT doc_id, {_MIXED} AS text FROM documents)"))
+def offsets_of_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds found in the normalised view, which is shorter, in the original's offsets."""
+    mixed = F.concat(F.lit("café ｶﾞ u"), F.col("doc_id").cast("string"), F.lit("@x.com "), F.col("text"))
+    config = A.AnonymizerConfig(language="ja", entities=("EMAIL_ADDRESS",))
+    return exploded(A.with_spans(table(spark, sf_dir, "documents").select("doc_id", mixed.alias("text")), "text", config), "doc_id", "_spans")
+
+
+_LETTER = "Ann Lee wrote to u"
+
+
+def _letter_model(text: Column, language: Column) -> Column:
+    """A model's findings in a letter: a name, and a place that runs into an address."""
+    return F.array(D.span(F.lit(0), F.lit(7), F.lit("PERSON"), F.lit(0.9)), D.span(F.lit(14), F.lit(18), F.lit("LOCATION"), F.lit(0.6)))
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.concat(F.lit(_LETTER), F.col("doc_id").cast("string"), F.lit("@x.com on day "), F.col("doc_id").cast("string"), F.lit(". Ann Lee left."))
+    return table(spark, sf_dir, "documents").select("doc_id", letter.alias("text"))
+
+
+@query("SELECT doc_id, d AS dropped, '<Name_1> wrote ' || CASE WHEN d THEN 'to' ELSE '<Location_1>' END || ' <Email_1> on day ' || doc_id || '. <Name_1> left.' AS masked_text FROM documents, (VALUES (TRUE), (FALSE)) AS v(d)")
+def model_findings_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's spans beside the rules': those that overlap an address are
+    dropped or keep their rest, and names are masked wherever they recur."""
+    out = [
+        A.anonymize(_letters(spark, sf_dir), "text", A.AnonymizerConfig(language="en", detector=_letter_model, drop_model_overlaps=drop)).select("doc_id", F.lit(drop).alias("dropped"), "masked_text")
+        for drop in (True, False)
+    ]
+    return out[0].unionByName(out[1])
+
+
+_GROUPS = 3
+_WORD = "[A-Za-z]{2,}"
+
+
+@query(f"""
+  WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS w FROM documents),
+  a AS (SELECT *, strpos(text, w[1]) - 1 AS s1 FROM w WHERE len(w) >= {_GROUPS}),
+  b AS (SELECT *, s1 + length(w[1]) + strpos(substr(text, s1 + length(w[1]) + 1), w[2]) - 1 AS s2 FROM a),
+  c AS (SELECT *, s2 + length(w[2]) + strpos(substr(text, s2 + length(w[2]) + 1), w[3]) - 1 AS s3 FROM b)
+  SELECT doc_id, CAST(unnest([s1, s2, s3]) AS BIGINT) AS "start", unnest(w[1:3]) AS value, unnest(['PERSON', 'LOCATION', 'PERSON']) AS entity_type FROM c""")
+def model_groups_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of a model, found again in each text in their order."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("_w")).where(F.size("_w") >= _GROUPS)
+
+    def group(i: int, tag: str) -> Column:
+        word = F.col("_w")[i]
+        cut = F.array(F.substring(word, 1, 1), F.concat(F.lit("##"), F.substr(word, F.lit(2))))
+        return F.struct(cut.alias("words"), NER.entity_of_tag(F.lit(tag)).alias("entity_type"), F.lit(0.9).alias("score"))
+
+    found = docs.withColumn("spans", NER.aligned_spans(F.col("text"), F.array(group(0, "PER"), group(1, "GPE"), group(2, "PERSON"))))
+    return exploded(found).select("doc_id", "start", "value", "entity_type")
+
+
+@query("""SELECT doc_id, '<Name_1_First_Name> <Name_1_Middle_Name> <Name_1_Last_Name> met <Name_1_Last_Name> ' || doc_id AS masked_text, 3 AS labels, 'Ann Mary Lee met Lee ' || doc_id AS restored_text FROM documents""")
+def name_parts_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names labelled by part; a later single word takes its part's label."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Ann Mary Lee met Lee "), F.col("doc_id").cast("string")).alias("text"))
+
+    def model(text: Column, language: Column) -> Column:
+        return F.array(*[D.span(F.lit(low), F.lit(high), F.lit("PERSON"), F.lit(0.9)) for low, high in ((0, 12), (17, 20))])
+
+    masked = A.deanonymize(A.anonymize(texts, "text", A.AnonymizerConfig(language="en", split_names=True, detector=model)))
+    return masked.select("doc_id", "masked_text", F.size("mapping").alias("labels"), "restored_text")
+
+
+@query(f"""
+  SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(s + 8 AS BIGINT) AS "end", CAST(0.7 AS DOUBLE) AS score FROM (
+    SELECT doc_id, 5 AS s FROM documents WHERE doc_id % 2 = 0)""")
+def context_raised_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes whose score passes the threshold only behind a word of their type."""
+    word = F.when(F.col("doc_id") % 2 == 0, F.lit("宛先は、")).otherwise(F.lit("番号は、"))
+    code = F.format_string("%s %03d-%04d。", word, F.col("doc_id") % 1000, F.col("doc_id") % 10000)
+    texts = table(spark, sf_dir, "documents").select("doc_id", code.alias("text"))
+    config = A.AnonymizerConfig(language="ja", entities=("JP_POSTAL_CODE",), context=True)
+    return exploded(A.with_spans(texts, "text", config), "doc_id", "_spans").select("doc_id", "start", "end", F.round("score", 6).alias("score")).where("score >= 0.4")
+
+
+_TYPES = "(SELECT DISTINCT event_type FROM events UNION SELECT DISTINCT role FROM conversations UNION SELECT 'the' UNION SELECT 'de')"
+
+
+@query(f"""
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS "start", CAST(i - 1 + length(n) AS BIGINT) AS "end", 'CUSTOM' AS entity_type, CAST(1.0 AS DOUBLE) AS score, n AS value FROM (
+    SELECT doc_id, text, n, unnest(range(1, length(text) + 1)) AS i FROM documents, {_TYPES} AS w(n) WHERE contains(text, n)) WHERE substr(text, i, length(n)) = n""")
+def needle_table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a table of strings."""
+    listed = table(spark, sf_dir, "events").select(F.col("event_type").alias("n")).union(table(spark, sf_dir, "conversations").select("role")).union(spark.createDataFrame([("the",), ("de",)], "n string"))
+    found = D.needle_spans(table(spark, sf_dir, "documents"), "doc_id", "text", listed, "n")
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "entity_type", "score", "value")
+
+
+_ALL_TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD")
+
+
+@query("SELECT doc_id, text AS restored_text FROM documents")
+def restored_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings saved twice under each document; the last one restores its text."""
+    masked = _masked(spark, sf_dir, _ALL_TYPES)
+    old = F.transform("mapping", lambda m: F.struct(m["label"].alias("label"), F.lit("old").alias("value")))
+    saves = masked.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("mapping").alias("mapping")), F.struct(F.lit(0).alias("at"), old.alias("mapping")))).alias("s")).select("doc_id", "s.*")
+    return R.restore_table(masked.select("doc_id", "masked_text"), R.latest_mappings(saves, ["doc_id"], "at"), ["doc_id"], "masked_text").select("doc_id", "restored_text")
+
+
+@query("SELECT doc_id, c AS choice, text AS content, 'http://<Email_1>' AS url FROM documents, (VALUES (0), (1)) AS v(c)")
+def completions_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of several choices restored, as strings and as lists of parts, of
+    which only text parts change."""
+    masked = _masked(spark, sf_dir, _ALL_TYPES)
+
+    def part(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"))
+
+    plain = R.restored_completion(F.array(F.struct(F.col("masked_text").alias("content"))), F.col("mapping"))
+    parts = R.restored_completion_parts(F.array(F.struct(F.array(part("text", F.col("masked_text")), part("image_url", F.lit("http://<Email_1>"))).alias("parts"))), F.col("mapping"))
+    both = masked.select("doc_id", D.once(plain)[0].alias("_a"), D.once(parts)[0]["parts"].alias("_b"))
+    rows = F.array(F.struct(F.lit(0).alias("choice"), F.col("_a.content").alias("content")), F.struct(F.lit(1).alias("choice"), F.col("_b")[0]["text"].alias("content")))
+    return both.select("doc_id", F.col("_b")[1]["text"].alias("url"), F.inline(rows))
+
+
+_HEAD = 10
+
+
+@query(f"""
+  SELECT conv_id, turn, choice, seq, chunk, done FROM (
+    SELECT conv_id, turn, 0 AS choice, 0 AS seq, substr(text, 1, {_HEAD}) AS chunk, FALSE AS done FROM conversations
+    UNION ALL SELECT conv_id, turn, 0, 1, substr(text, {_HEAD + 1}), TRUE FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, 0, text, TRUE FROM conversations)""")
+def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion frames of event streams: written, joined to bodies, parsed
+    again, and their chunks numbered for each choice."""
+    text = F.col("text")
+    chunks = F.array(*[F.struct(F.lit(c).alias("choice"), F.lit(s).cast("long").alias("seq"), x.alias("text"), F.lit(last).alias("last")) for c, s, x, last in ((0, 0, F.substring(text, 1, _HEAD), False), (1, 1, text, False), (0, 2, F.substr(text, F.lit(_HEAD + 1)), True))])
+    rows = _conversations(spark, sf_dir).select(F.struct("conv_id", "turn").alias("stream_id"), F.inline(chunks))
+    bodies = WR.sse_body(WR.delta_frames(rows), "stream_id")
+    found = RD.deltas(RD.sse_frames(bodies, "stream_id", "body"), "stream_id")
+    return found.select("stream_id.*", F.col("choice").cast("int").alias("choice"), F.col("seq").cast("int").alias("seq"), "chunk", "done")
+
+
+_STATUS = {"click": "anonymized", "view": "passthrough"}
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS anonymized, count(*) FILTER (event_type = 'view') AS passthrough, count(*) FILTER (event_type = 'error') AS errors FROM events")
+def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv])[F.col("event_type")]
+    return EV.counters(table(spark, sf_dir, "events").select(F.coalesce(status, "event_type").alias("status")), "status")
+
+
+@query('SELECT event_id, value > 5 AS "hasMapping" FROM events ORDER BY event_id DESC LIMIT 100')
+def event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rows are asked for than a listing may have; mappings show as a flag only."""
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 5, F.col("props")).alias("mapping"))
+    return EV.latest(events, "event_id", 500)
