@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,20 +62,26 @@ def match_bounds(text: Column, pattern: str) -> Column:
 
 
 def rule_spans(text: Column, language: Column, rule: Rule) -> Column:
-    """Spans of one rule: gated by language, a needed character, and a match."""
+    """Spans of one rule: gated by language and a match."""
     spans = F.transform(match_bounds(text, rule.pattern), lambda b: span(b["start"], b["end"], F.lit(rule.entity_type), F.lit(rule.score)))
     if rule.check is not None:
         spans = F.filter(spans, lambda s: rule.check(value_of(text, s)))
-    gate = text.contains(rule.needs) if len(rule.needs) == 1 else text.rlike(rule.needs)
-    gate = gate & text.rlike(rule.pattern)
+    gate = text.rlike(rule.pattern)
     if rule.languages:
         gate = language.isin(*rule.languages) & gate
     return F.when(gate, spans).otherwise(no_spans())
 
 
 def detect_rules(text: Column, language: Column, rules: Sequence[Rule]) -> Column:
-    """Unmerged spans of all rules, in rule order, then position."""
-    return F.concat(*[rule_spans(text, language, r) for r in rules]) if rules else no_spans()
+    """Unmerged spans of all rules, in rule order, then position.
+
+    Neighbouring rules that need the same are gated by it together, so most
+    texts are looked at a few times and not once for each rule."""
+    parts = []
+    for needs, group in groupby(rules, lambda r: r.needs):
+        gate = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
+        parts.append(F.when(gate, F.concat(*[rule_spans(text, language, r) for r in group])).otherwise(no_spans()))
+    return F.concat(*parts) if parts else no_spans()
 
 
 #: What a context word adds, and the least score it leads to.
@@ -108,14 +115,13 @@ HEAD = 3
 FOUND_ROWS = 1 << 16
 
 
-def heads_of(text: Column) -> Column:
-    """The distinct strings of up to HEAD characters that a text holds."""
-    chars = F.split(text, "", -1)
-    out, longer = [chars], chars
-    for k in range(2, HEAD + 1):
-        longer = F.zip_with(longer, F.slice(chars, F.lit(k), F.size(chars)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        out.append(longer)
-    return F.array_distinct(F.concat(*out))
+def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_digest, _head): the distinct strings of up to HEAD characters in texts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = batch.column(1)[i].as_py()
+            heads = list(set(own).union(*[map("".join, zip(*[own[j:] for j in range(k)], strict=False)) for k in range(2, HEAD + 1)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(heads), pa.int64())), pa.array(heads, pa.string())], ["_digest", "_head"])
 
 
 def needle_spans(df: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
@@ -130,7 +136,7 @@ def needle_spans(df: DataFrame, key: str, text: str, needles: DataFrame, needle:
     listed = needles.select(F.col(needle).cast("string").alias("_value")).where("length(_value) > 0").distinct()
     listed = listed.withColumn("_head", F.substring("_value", 1, HEAD))
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where("length(_text) > 0").withColumn("_digest", F.sha2("_text", 256))
-    heads = rows.select("_digest", F.explode(heads_of(F.col("_text"))).alias("_head"))
+    heads = rows.select("_digest", "_text").mapInArrow(heads_of, "_digest string, _head string")
     wanted = heads.join(listed, "_head").groupBy("_digest").agg(F.collect_set("_value").alias("_values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,10 +10,14 @@ from pyspark.sql import Column
 from ..functions import validators as V
 
 
+#: What every match of a rule on numbers holds: seven digits close together.
+SEVEN_DIGITS = r"[0-9](?:[ ./()-]{0,2}[0-9]){6}"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``needs`` are characters one of which every match holds; they gate the
-    pattern. ``languages`` empty: all. ``check`` says which matches stand."""
+    """``needs`` is a character or pattern that every match holds; it gates the
+    rule. ``languages`` empty: all. ``check`` says which matches stand."""
 
     name: str
     entity_type: str
@@ -21,7 +25,7 @@ class Rule:
     score: float
     languages: tuple[str, ...] = ()
     check: Callable[[Column], Column] | None = None
-    needs: str = "[0-9]"
+    needs: str = SEVEN_DIGITS
 
 
 #: Patterns, scores, languages, in the order that breaks ties.
@@ -54,7 +58,7 @@ RULES: tuple[Rule, ...] = (
     Rule("my_number", "JP_MY_NUMBER", r"(?<![\d-])\d{4}[- ]?\d{4}[- ]?\d{4}(?![\d-])", 0.7, check=V.my_number_valid),
     Rule("card", "CREDIT_CARD", r"(?<![\d-])(?!1\d{12}(?!\d))(?:4\d{3}|5[0-5]\d{2}|6\d{3}|1\d{3}|3\d{3})[- ]?\d{3,4}[- ]?\d{3,4}[- ]?\d{3,5}(?![\d-])", 1.0, check=V.luhn_valid),
     Rule("ssn", "US_SSN", r"(?<![\d.-])\d{3}[- .]\d{2}[- .]\d{4}(?![\d.-])", 0.5, check=V.ssn_valid),
-    Rule("iban", "IBAN_CODE", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 1.0, check=V.iban_valid),
+    Rule("iban", "IBAN_CODE", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 1.0, check=V.iban_valid, needs="[A-Z]{2}[0-9]{2}"),
 )
 
 #: Scores of the model-free scan profile where they differ; the

@@ -26,6 +26,17 @@ def test_native_offsets_equal_regex_engine(spark):
         got = {r.id: [(b.start, b.end) for b in r.b] for r in rows.select("id", D.match_bounds(F.col("text"), rule.pattern).alias("b")).collect()}
         own = re.compile(rule.pattern.replace(r"\x{a0}", "\xa0").replace(r"\x{feff}", "﻿"), re.ASCII)
         assert got == {i: [m.span() for m in own.finditer(t)] for i, t in enumerate(texts)}, rule.name
+        assert all(re.search(rule.needs, m[0]) for t in texts for m in own.finditer(t)), rule.name
+
+
+@given(st.data())
+@settings(max_examples=400, deadline=None)
+def test_every_match_holds_what_its_rule_needs(data):
+    """Strings made from the rules' own patterns hold what gates them."""
+    rule = data.draw(st.sampled_from(RULES))
+    own = re.compile(rule.pattern.replace(r"\x{a0}", "\xa0").replace(r"\x{feff}", "\ufeff"), re.ASCII)
+    match = own.search(data.draw(st.from_regex(own)))
+    assert re.search(rule.needs, match[0])
 
 
 MASKED = [
