@@ -1,8 +1,10 @@
 """The detection view of a text, with the way back to its offsets.
 
 NFC is applied to each base character with its combining marks; Japanese also
-folds half-width katakana. ``orig_pos`` has, for each offset of the view and its
-end, the original's offset; null where the view equals the text.
+folds half-width katakana. The way back is a list of runs, in which offsets of
+the view and of the original go up together: run k begins at ``view_at[k]``,
+which is ``orig_at[k]`` in the original. Its size is that of the changes, not of
+the text; both are null where the view equals the text.
 """
 
 from __future__ import annotations
@@ -10,19 +12,28 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("orig_pos", T.ArrayType(T.IntegerType()))])
+VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("view_at", T.ArrayType(T.IntegerType())), T.StructField("orig_at", T.ArrayType(T.IntegerType()))])
+#: view_at and orig_at.
+Runs = tuple[list[int], list[int]]
+#: (start, end, new): what stands for a part of a text.
+Edit = tuple[int, int, str]
 #: NFC changes nothing in texts of characters below U+0300.
 MAY_CHANGE = "[^\u0000-˿]"
 HALFWIDTH = "[｡-ﾟ]"
 _HALFWIDTH = re.compile(HALFWIDTH)
+#: Where a chunk may be that isn't a character by itself; beyond U+FFFF this says too much.
+_MARKED = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c) + "\U00010000-\U0010ffff]")
 #: Voiced and half-voiced marks, and how they stand alone.
 VOICED, SEMI_VOICED = "ﾞ", "ﾟ"
+_FOLDED = re.compile(f"{HALFWIDTH}[{VOICED}{SEMI_VOICED}]?")
 ALONE = {VOICED: "゛", SEMI_VOICED: "゜"}
 
 
@@ -43,30 +54,63 @@ def halfwidth_table() -> dict[str, str]:
     return table | ALONE
 
 
-def composed(text: str, at: list[int]) -> tuple[str, list[int]]:
-    """NFC by chunks of a base and its marks; ``at`` maps offsets further back."""
-    out, spots, i = [], [], 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and unicodedata.combining(text[j]):
-            j += 1
-        piece = unicodedata.normalize("NFC", text[i:j])
-        out.append(piece)
-        spots += [at[i]] * len(piece)
-        i = j
-    # offsets inside a chunk that grew or shrank lead to the chunk's start
-    return "".join(out), [*spots, at[len(text)]]
+def composed(text: str) -> Iterator[Edit]:
+    """NFC by chunks of a base and its marks: those of several characters or that change."""
+    i = 0
+    while (m := _MARKED.search(text, i)) is not None:
+        low, i = m.start(), m.end()
+        if unicodedata.combining(text[low]):
+            low = max(low - 1, 0)
+        while i < len(text) and unicodedata.combining(text[i]):
+            i += 1
+        piece = unicodedata.normalize("NFC", text[low:i])
+        if i - low > 1 or piece != text[low:i]:
+            yield low, i, piece
 
 
-def folded(text: str, at: list[int]) -> tuple[str, list[int]]:
+def folded(text: str) -> Iterator[Edit]:
     """Half-width katakana and punctuation as full-width characters."""
-    table, out, spots, i = halfwidth_table(), [], [], 0
-    while i < len(text):
-        size = 2 if text[i : i + 2] in table and i + 1 < len(text) else 1
-        out.append(table.get(text[i : i + size], text[i]))
-        spots.append(at[i])
-        i += size
-    return "".join(out), [*spots, at[len(text)]]
+    table = halfwidth_table()
+    for m in _FOLDED.finditer(text):
+        i, j = m.span()
+        if m[0] in table:
+            yield i, j, table[m[0]]
+        else:
+            yield i, i + 1, table[text[i]]
+            yield i + 1, j, table[text[i + 1]]
+
+
+def edited(text: str, edits: Iterator[Edit]) -> tuple[str, Runs]:
+    """A text with edits (in order, disjoint) and the runs that lead back."""
+    out, views, origs, done, size = [], [0], [0], 0, 0
+    for i, j, new in edits:
+        out += (text[done:i], new)
+        size += i - done
+        # offsets inside of what an edit made lead to its start
+        for k in range(1, len(new)):
+            views.append(size + k)
+            origs.append(i)
+        size, done = size + len(new), j
+        if len(new) != 1 or j - i != 1:
+            views.append(size)
+            origs.append(j)
+    return "".join((*out, text[done:])), (views, origs)
+
+
+def followed(first: Runs, second: Runs) -> Runs:
+    """Runs from the second's view to the first's original."""
+    (mids, origs), (views, lows) = first, second
+    out: Runs = ([], [])
+    for k, (v, low) in enumerate(zip(views, lows, strict=True)):
+        r = bisect_right(mids, low) - 1
+        out[0].append(v)
+        out[1].append(origs[r] + low - mids[r])
+        r += 1
+        while r < len(mids) and (k + 1 == len(views) or v + mids[r] - low < views[k + 1]):
+            out[0].append(v + mids[r] - low)
+            out[1].append(origs[r])
+            r += 1
+    return out
 
 
 FOLDS = {"halfwidth_katakana": folded}
@@ -74,21 +118,43 @@ FOLDS = {"halfwidth_katakana": folded}
 LANGUAGE_FOLDS = {"ja": ("halfwidth_katakana",)}
 
 
-def detect_view(text: str, folds: tuple[str, ...] = ()) -> tuple[str, list[int] | None]:
-    """View and map (None: the text itself). Unknown folds raise KeyError."""
+def detect_view(text: str, folds: tuple[str, ...] = ()) -> tuple[str, Runs | None]:
+    """View and runs (None: the text itself). Unknown folds raise KeyError."""
     own = [FOLDS[name] for name in folds]
     if unicodedata.is_normalized("NFC", text) and not (own and _HALFWIDTH.search(text)):
         return text, None
-    view, at = composed(text, list(range(len(text) + 1)))
-    for name in folds:
-        view, at = FOLDS[name](view, at)
-    return (text, None) if view == text else (view, at)
+    view, runs = edited(text, composed(text))
+    for fold in own:
+        view, more = edited(view, fold(view))
+        runs = followed(runs, more)
+    return (text, None) if view == text else (view, runs)
 
 
-@F.pandas_udf(VIEW)
-def _views(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else detect_view(t, LANGUAGE_FOLDS.get(g, ())) for t, g in zip(texts, languages, strict=True)]
-    return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "orig_pos": pd.Series([r[1] for r in rows], dtype=object)})
+#: Characters of views that one Arrow batch of results holds, one text at least.
+BATCH_CHARS = 1 << 18
+
+
+@F.arrow_udf(VIEW)
+def _views(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+    def made(rows: list[tuple]) -> pa.Array:
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], VIEW.names)
+
+    for texts, languages in batches:
+        rows: list[tuple] = []
+        size = 0
+        for i in range(len(texts)):
+            text = texts[i].as_py()
+            view, runs = (None, None) if text is None else detect_view(text, LANGUAGE_FOLDS.get(languages[i].as_py(), ()))
+            rows.append((view, *(runs or (None, None))))
+            size += len(view or "")
+            if size >= BATCH_CHARS:
+                yield made(rows)
+                rows, size = [], 0
+        if rows or not len(texts):
+            yield made(rows)
 
 
 #: So that the optimizer neither repeats the Arrow step nor moves it into an explode.
@@ -101,14 +167,27 @@ def needs_view(text: Column, language: Column) -> Column:
 
 
 def view_of(text: Column, language: Column) -> Column:
-    """struct(text, orig_pos); of a null text (one that doesn't need a view) nulls."""
+    """struct(text, view_at, orig_at); of a null text (one that doesn't need a view) nulls."""
     return _views(text, language)
 
 
-def to_original(spans: Column, orig_pos: Column) -> Column:
+def to_original(spans: Column, view: Column) -> Column:
     """Spans of the view as spans of the text."""
+    views, origs = view["view_at"], view["orig_at"]
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(views))))
+    start = F.struct(F.lit(0).alias("low"), F.size(views).alias("high"))
+
+    def original(offset: Column) -> Column:
+        """By binary search for the last run that begins at or before the offset."""
+
+        def halved(a: Column, _: Column) -> Column:
+            middle = F.shiftright(a["low"] + a["high"], 1)
+            left = F.get(views, middle) > offset
+            return F.struct(F.when(left, a["low"]).otherwise(middle).alias("low"), F.when(left, middle).otherwise(a["high"]).alias("high"))
+
+        return F.aggregate(halvings, start, halved, lambda a: F.get(origs, a["low"]) + offset - F.get(views, a["low"]))
 
     def back(s: Column) -> Column:
-        return F.struct(F.get(orig_pos, s["start"]).alias("start"), F.get(orig_pos, s["end"]).alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"))
+        return F.struct(original(s["start"]).alias("start"), original(s["end"]).alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"))
 
-    return F.when(orig_pos.isNull(), spans).otherwise(F.transform(spans, back))
+    return F.when(views.isNull(), spans).otherwise(F.transform(spans, back))

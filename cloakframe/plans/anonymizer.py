@@ -90,7 +90,7 @@ def with_spans(df: DataFrame, text: str, config: AnonymizerConfig = AnonymizerCo
     view, back, needles = raw, None, config.deny_list
     if config.normalize:
         base = base.withColumn(n["_view"], view_of(F.when(needs_view(raw, language), raw), language))
-        view, back, needles = F.coalesce(F.col(n["_view"])["text"], raw), F.col(n["_view"])["orig_pos"], tuple(detect_view(x)[0] for x in config.deny_list)
+        view, back, needles = F.coalesce(F.col(n["_view"])["text"], raw), F.col(n["_view"]), tuple(detect_view(x)[0] for x in config.deny_list)
     ruled, denied = D.detect_rules(view, language, rules), D.deny_spans(view, needles)
     if config.context:
         ruled = D.boosted(ruled, view)
